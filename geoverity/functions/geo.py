@@ -33,9 +33,16 @@ def on_land(lat, lon) -> Column:
 
 
 def _decimals(x: Column) -> Column:
-    s = F.rtrim(F.format_string("%.6f", x))
-    s = F.regexp_replace(s, "0+$", "")
-    return F.when(F.instr(s, ".") > 0, F.length(F.substring_index(s, ".", -1))).otherwise(F.lit(0))
+    """Decimals left in ``%.6f`` after stripping trailing zeros, computed from
+    the integer ``round(|x| * 1e6)`` (trailing decimal zeros) instead of text
+    formatting; huge values fall back to the formatted text."""
+    n = F.round(F.abs(x) * 1e6).cast("long")
+    tz = F.lit(0)
+    for k in range(1, 7):
+        tz = F.when(n % (10 ** k) == 0, F.lit(k)).otherwise(tz)
+    s = F.regexp_replace(F.format_string("%.6f", x), "0+$", "")
+    txt = F.when(F.instr(s, ".") > 0, F.length(F.substring_index(s, ".", -1))).otherwise(F.lit(0))
+    return F.when(F.abs(x) < 1e12, 6 - tz).otherwise(txt)
 
 
 def coordinate_precision(lat, lon) -> Column:
@@ -45,15 +52,16 @@ def coordinate_precision(lat, lon) -> Column:
     return F.least(F.lit(1.0), avg / 6.0)
 
 
-def city_centre_map() -> Column:
-    """Literal map lower(city) -> struct(lat, lon); a constant, so no join is needed."""
-    kv = []
-    for city, (la, lo) in K.CITY_CENTRES.items():
-        kv += [F.lit(city), F.struct(F.lit(la).alias("lat"), F.lit(lo).alias("lon"))]
-    return F.create_map(*kv)
+def _city_case(key: Column, idx: int) -> Column:
+    out = None
+    for city, ll in K.CITY_CENTRES.items():
+        out = F.when(key == city, F.lit(ll[idx])) if out is None else out.when(key == city, F.lit(ll[idx]))
+    return out
 
 
 def distance_from_city_centre(city, lat, lon) -> Column:
-    """Haversine to the known centre of ``lower(city)``; NULL for unknown cities."""
-    hit = F.element_at(city_centre_map(), F.lower(F.coalesce(_c(city), F.lit(""))))
-    return F.when(hit.isNotNull(), haversine_km(lat, lon, hit["lat"], hit["lon"]))
+    """Haversine to the known centre of ``lower(city)``; NULL for unknown cities.
+    The 23-entry table is a constant, compiled into a CASE (no join)."""
+    key = F.lower(F.coalesce(_c(city), F.lit("")))
+    clat, clon = _city_case(key, 0), _city_case(key, 1)
+    return F.when(clat.isNotNull(), haversine_km(lat, lon, clat, clon))

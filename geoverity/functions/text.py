@@ -73,16 +73,18 @@ def lower_words(x) -> Column:
     return F.array_distinct(F.filter(F.split(_c(x), " "), lambda w: w != ""))
 
 
-def alias_detected(folded_a, folded_b) -> Column:
-    """Both names hit some alias group and their hit sets differ."""
-    wa, wb = lower_words(folded_a), lower_words(folded_b)
-    tests = []
-    for aliases in K.SCHOOL_ALIASES.values():
-        group = F.array(*[F.lit(a) for a in aliases])
-        ha = F.array_sort(F.array_intersect(wa, group))
-        hb = F.array_sort(F.array_intersect(wb, group))
-        tests.append((F.size(ha) > 0) & (F.size(hb) > 0) & (ha != hb))
-    return reduce(lambda a, b: a | b, tests)
+def alias_detected(words_a, words_b) -> Column:
+    """Both word sets hit some alias group and their hit sets differ
+    (arguments: distinct word arrays of the folded names)."""
+    wa, wb = _c(words_a), _c(words_b)
+    groups = F.array(*[F.array(*[F.lit(a) for a in aliases]) for aliases in K.SCHOOL_ALIASES.values()])
+
+    def hit(g):
+        ha = F.array_sort(F.array_intersect(wa, g))
+        hb = F.array_sort(F.array_intersect(wb, g))
+        return (F.size(ha) > 0) & (F.size(hb) > 0) & (ha != hb)
+
+    return F.exists(groups, hit)
 
 
 def transliteration_match(folded_a, folded_b) -> Column:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import geo, similarity as sim
-from ..functions.text import alias_detected, normalize_country, transliteration_match
+from ..functions.text import alias_detected, lower_words, normalize_country, transliteration_match
 
 # Fields of a candidate's raw provider record that the collectors read.
 RAW_SCHEMA = (
@@ -65,24 +65,30 @@ def postal_similarity(q, t) -> Column:
 
 def text_evidence(df: DataFrame) -> DataFrame:
     """Adds struct ``text`` (8 similarities + alias + transliteration)."""
-    admin_ref = F.trim(F.concat_ws(" ", _s("ref_state"), _s("ref_country")))
-    admin_cand = F.trim(F.concat_ws(" ", _s("state"), _s("country")))
-    fold_ref = sim.fold(_s("ref_name"))
-    fold_cand = sim.fold(_s("name"))
-    out = df.withColumn("_fref", fold_ref).withColumn("_fcand", fold_cand)
+    out = df.withColumn("_admin_ref", F.trim(F.concat_ws(" ", _s("ref_state"), _s("ref_country")))) \
+            .withColumn("_admin_cand", F.trim(F.concat_ws(" ", _s("state"), _s("country"))))
+    for col, (a, b) in {"_s_name": ("ref_name", "name"), "_s_addr": ("ref_address", "address"),
+                        "_s_city": ("ref_city", "city"), "_s_state": ("ref_state", "state"),
+                        "_s_street": ("ref_address", "street"),
+                        "_s_admin": ("_admin_ref", "_admin_cand")}.items():
+        out = sim.with_fuzzy(out, col, a, b)
+    out = (out.withColumn("_fref", sim.fold(_s("ref_name"))).withColumn("_fcand", sim.fold(_s("name")))
+              .withColumn("_wref", lower_words("_fref")).withColumn("_wcand", lower_words("_fcand")))
     text = F.struct(
-        sim.fuzzy_score("ref_name", "name").alias("name_similarity"),
-        sim.fuzzy_score("ref_address", "address").alias("address_similarity"),
-        sim.fuzzy_score("ref_city", "city").alias("city_similarity"),
-        sim.fuzzy_score("ref_state", "state").alias("state_similarity"),
+        F.col("_s_name").alias("name_similarity"),
+        F.col("_s_addr").alias("address_similarity"),
+        F.col("_s_city").alias("city_similarity"),
+        F.col("_s_state").alias("state_similarity"),
         country_similarity("ref_country", "country").alias("country_similarity"),
         postal_similarity("ref_postal_code", "postal_code").alias("postal_similarity"),
-        sim.fuzzy_score("ref_address", "street").alias("street_similarity"),
-        sim.fuzzy_score(admin_ref, admin_cand).alias("admin_area_similarity"),
-        alias_detected("_fref", "_fcand").alias("alias_detected"),
+        F.col("_s_street").alias("street_similarity"),
+        F.col("_s_admin").alias("admin_area_similarity"),
+        alias_detected("_wref", "_wcand").alias("alias_detected"),
         transliteration_match("_fref", "_fcand").alias("transliteration_match"),
     )
-    return out.withColumn("text", text).drop("_fref", "_fcand")
+    return out.withColumn("text", text).drop(
+        "_fref", "_fcand", "_wref", "_wcand", "_admin_ref", "_admin_cand", "_s_name", "_s_addr",
+        "_s_city", "_s_state", "_s_street", "_s_admin")
 
 
 # ---------------------------------------------------------------------------
@@ -96,7 +102,7 @@ def reverse_match(ref_city, ref_country, rev_city, rev_country) -> Column:
     city_hit = both_city & (F.contains(vc, rc) | F.contains(rc, vc) | (sim.ratio(
         F.when(both_city, rc), F.when(both_city, vc)) > 70))
     country_hit = (rn != "") & (vn != "") & (F.contains(vn, rn) | F.contains(rn, vn))
-    return city_hit | country_hit
+    return F.coalesce(city_hit, F.lit(False)) | country_hit
 
 
 def admin_hierarchy_valid(ref_state, ref_country, rev_state, rev_country) -> Column:
@@ -105,7 +111,7 @@ def admin_hierarchy_valid(ref_state, ref_country, rev_state, rev_country) -> Col
     country_bad = (rn != "") & (vn != "") & ~F.contains(vn, rn) & ~F.contains(rn, vn)
     state_cmp = (rs != "") & (vs != "") & ~F.contains(vs, rs) & ~F.contains(rs, vs)
     state_bad = state_cmp & (sim.ratio(F.when(state_cmp, rs), F.when(state_cmp, vs)) < 60)
-    return ~(country_bad | state_bad)
+    return ~(country_bad | F.coalesce(state_bad, F.lit(False)))
 
 
 def extract_place_type(rawf: Column, nonempty: Column) -> Column:
@@ -192,7 +198,7 @@ def provider_evidence(df: DataFrame, key: str = "pos", order: str = "cand_pos",
     total = F.size(F.collect_set("provider").over(w_centre))
     agreeing = F.size(F.collect_set(F.when(F.col("_agree"), F.col("provider"))).over(w_centre))
     # mean of the distinct providers' weights
-    pw = F.collect_set(F.struct("provider", "_pw")).over(w_centre)
+    pw = F.collect_set(F.when(F.col("provider").isNotNull(), F.struct("provider", "_pw"))).over(w_centre)
     mean_w = F.try_divide(F.aggregate(pw, F.lit(0.0), lambda acc, x: acc + x["_pw"]), F.size(pw))
     d = (d.withColumn("_total", total).withColumn("_agreeing", agreeing)
           .withColumn("_var", F.when(n_in < 2, F.lit(0.0)).otherwise(F.sqrt(var)))
@@ -359,10 +365,12 @@ def collect_evidence(df: DataFrame, has_prev: str | None = None) -> DataFrame:
     """All five collectors for every candidate plus signals and the
     candidate id (``id`` if present else ``candidate_{i}_{provider}`` with the
     0-based list index)."""
-    out = text_evidence(df)
+    # window-based evidence first: it reuses the input's partitioning on the
+    # centre key; the Arrow UDF stage of the text evidence comes after it
+    out = provider_evidence(df)
+    out = text_evidence(out)
     out = geography_evidence(out, "prev_latitude" if has_prev else None,
                              "prev_longitude" if has_prev else None)
-    out = provider_evidence(out)
     out = place_type_evidence(out)
     out = historical_evidence(out, has_prev)
     cid = F.format_string("candidate_%d_%s", (F.col("cand_pos") - 1).cast("int"), _s("provider"))

@@ -92,11 +92,18 @@ def geocode_centres(centres: DataFrame, cands: DataFrame, force: bool = False,
     """one row per centre with the outcome and, when geocoded, the new
     coordinates and verification metadata."""
     decided = verify_candidates(centres, cands, force, previous, **kw)
-    w = Window.partitionBy("pos").orderBy(
-        F.col("is_accepted").desc_nulls_last(), F.col("calibrated_confidence").desc_nulls_last(),
-        F.col("cand_pos").asc_nulls_last())
-    per = (decided.withColumn("_n", F.count("cand_pos").over(Window.partitionBy("pos")))
-                  .withColumn("_rn", F.row_number().over(w)).filter("_rn = 1"))
+    # one row per centre: a partial (map-side) max_by aggregate, so only one
+    # row per centre and task is shuffled
+    ok = F.coalesce(F.col("is_accepted"), F.lit(False))
+    rank_key = F.struct(ok.alias("a"), F.coalesce(F.col("calibrated_confidence"), F.lit(-1.0)).alias("c"),
+                        (-F.coalesce(F.col("cand_pos"), F.lit(0))).alias("p"))
+    keep = ["pending", "n_queries", "ref_latitude", "ref_longitude", "is_accepted", "latitude",
+            "longitude", "calibrated_confidence", "state", "provider", "positive_signals",
+            "negative_signals"] + [f"ref_{f}" for f in REF_FIELDS]
+    per = (decided.groupBy("pos")
+                  .agg(F.max_by(F.struct(*keep), rank_key).alias("b"),
+                       F.count("cand_pos").alias("_n"))
+                  .select("pos", "b.*", "_n"))
     ok = F.coalesce(F.col("is_accepted"), F.lit(False))
     status = (F.when(~F.col("pending"), F.lit("cached: already has coordinates"))
                .when(F.col("n_queries") == 0, F.lit("no_queries_generated"))
