@@ -116,3 +116,38 @@ def format_duration(x) -> Column:
     mins = F.floor(v / 60).cast("long")
     return F.when(v < 60, F.format_string("%.1fs", v)).otherwise(
         F.format_string("%dm %.1fs", mins, v - mins * 60))
+
+
+
+def py_float_repr(x) -> Column:
+    """Python ``repr(float)`` text of a double column.
+
+    Spark (like Java) prints the shortest round-trip digits but switches to
+    ``d.dddE<n>`` outside [1e-3, 1e7); Python switches outside [1e-4, 1e16) and
+    writes ``e-05`` / ``e+16``. The digits are the same; only the layout is
+    rewritten here."""
+    v = _c(x)
+    s = v.cast("string")
+    sci = r"^(-?)(\d)\.(\d+)E(-?\d+)$"
+    sign = F.regexp_extract(s, sci, 1)
+    d0 = F.regexp_extract(s, sci, 2)
+    frac = F.regexp_extract(s, sci, 3)
+    exp = F.regexp_extract(s, sci, 4)
+    e = F.when(exp != "", exp.cast("int"))
+    frac_t = F.when(frac == "0", F.lit("")).otherwise(frac)
+    digits = F.concat(d0, frac_t)
+    nint = e + 1
+    small = F.concat(sign, F.lit("0.000"), digits)                  # 1e-4 <= |x| < 1e-3
+    big = F.when(F.length(digits) <= nint,                           # 1e7 <= |x| < 1e16
+                 F.concat(sign, F.rpad(digits, 64, "0").substr(F.lit(1), nint), F.lit(".0"))).otherwise(
+        F.concat(sign, digits.substr(F.lit(1), nint), F.lit("."), digits.substr(nint + 1, F.lit(64))))
+    mant = F.concat(d0, F.when(frac_t != "", F.concat(F.lit("."), frac_t)).otherwise(F.lit("")))
+    pysci = F.concat(sign, mant, F.lit("e"), F.when(e < 0, F.lit("-")).otherwise(F.lit("+")),
+                     F.lpad(F.abs(e).cast("string"), 2, "0"))
+    return (F.when(v.isNull(), F.lit(None).cast("string"))
+             .when(F.isnan(v), F.lit("nan"))
+             .when(v == float("inf"), F.lit("inf")).when(v == float("-inf"), F.lit("-inf"))
+             .when(e.isNull(), s)
+             .when(e == -4, small)
+             .when((e >= 7) & (e <= 15), big)
+             .otherwise(pysci))
