@@ -105,19 +105,17 @@ def format_bytes(x) -> Column:
     for i, unit in enumerate(["B", "KB", "MB", "GB"]):
         scaled = v / F.lit(1024.0 ** i)
         cond = scaled < 1024
-        txt = F.format_string(f"%.1f {unit}", scaled)
+        txt = F.concat(py_fixed(scaled, 1), F.lit(f" {unit}"))
         out = F.when(cond, txt) if out is None else out.when(cond, txt)
-    return out.otherwise(F.format_string("%.1f TB", v / F.lit(1024.0 ** 4)))
+    return out.otherwise(F.concat(py_fixed(v / F.lit(1024.0 ** 4), 1), F.lit(" TB")))
 
 
 def format_duration(x) -> Column:
     """``12.3s`` below a minute, else ``2m 3.4s``."""
     v = _c(x).cast("double")
     mins = F.floor(v / 60).cast("long")
-    return F.when(v < 60, F.format_string("%.1fs", v)).otherwise(
-        F.format_string("%dm %.1fs", mins, v - mins * 60))
-
-
+    return F.when(v < 60, F.concat(py_fixed(v, 1), F.lit("s"))).otherwise(
+        F.concat(mins.cast("string"), F.lit("m "), py_fixed(v - mins * 60, 1), F.lit("s")))
 
 def py_float_repr(x) -> Column:
     """Python ``repr(float)`` text of a double column.
@@ -151,3 +149,66 @@ def py_float_repr(x) -> Column:
              .when(e == -4, small)
              .when((e >= 7) & (e <= 15), big)
              .otherwise(pysci))
+
+
+def py_fixed(x, digits: int) -> Column:
+    """Python ``f"{x:.{digits}f}"``: Java's ``%.nf`` rounds half-up on the
+    shortest decimal form, ``format_number`` (DecimalFormat, half-even on the
+    exact binary value) rounds like Python; its grouping commas are removed."""
+    v = _c(x).cast("double")
+    return (F.when(v.isNull(), F.lit(None).cast("string")).when(F.isnan(v), F.lit("nan"))
+             .when(v == float("inf"), F.lit("inf")).when(v == float("-inf"), F.lit("-inf"))
+             .otherwise(F.regexp_replace(F.format_number(v, digits), ",", "")))
+
+
+def url_query_params(url) -> Column:
+    """Query string after the first ``?``, cut at ``#``, split on ``&``; each
+    ``k=v`` (split at the first ``=``) URL-decoded; the last duplicate key wins.
+    ``+`` stays literal (percent-decoding only), so it is escaped first."""
+    u = _c(url)
+    qs = F.when(F.instr(u, "?") > 0, F.regexp_extract(u, r"^[^?]*\?([^#]*)", 1))
+    parts = F.filter(F.split(qs, "&"), lambda p: F.instr(p, "=") > 0)
+
+    def dec(s):
+        return F.coalesce(F.try_url_decode(F.replace(s, F.lit("+"), F.lit("%2B"))), s)
+    entries = F.transform(parts, lambda p: F.struct(
+        dec(F.substring_index(p, "=", 1)).alias("key"),
+        dec(F.regexp_extract(p, r"^[^=]*=(.*)$", 1)).alias("value")))
+    # keep the last occurrence of each key (independent of mapKeyDedupPolicy)
+    last = F.filter(entries, lambda e, i: ~F.exists(
+        F.slice(entries, i + 2, F.greatest(F.size(entries) - i - 1, F.lit(1))),
+        lambda x: (x["key"] == e["key"]) & (F.size(entries) > i + 1)))
+    return F.map_from_entries(last)
+
+
+_NUM = r"-?\d+\.\d{2,8}"
+
+
+def detect_url_template(value) -> Column:
+    """URL -> template with ``{lat}``/``{lng}`` placeholders, or NULL.
+
+    http(s) only. First, the first ``<lat><sep><lng>`` pair (2-8 decimals,
+    separator ``[,%]2?C?``) if both are valid coordinates; the separator kept is
+    the one found by re-scanning the matched text after the latitude. Else the
+    first ``lat``/``latitude`` and ``lng``/``lon``/``longitude`` query values
+    (case-insensitive keys); both are substituted whatever their order."""
+    v = py_strip(_c(value))
+    is_url = v.startswith("http://") | v.startswith("https://")
+    p1 = rf"(?s)^(.*?)({_NUM})([,%]2?C?)({_NUM})(.*)$"
+    pre, la, lo, post = (F.regexp_extract(v, p1, i) for i in (1, 2, 4, 5))
+    whole = F.regexp_extract(v, rf"{_NUM}[,%]2?C?{_NUM}", 0)
+    sep = F.regexp_extract(F.substring(whole, F.length(la) + 1, 1 << 30), r"[,%]2?C?", 0)
+    ok1 = (whole != "") & la.cast("double").between(-90, 90) & lo.cast("double").between(-180, 180)
+    t1 = F.concat(pre, F.lit("{lat}"), sep, F.lit("{lng}"), post)
+    plat = rf"(?s)^(.*?[?&])((?i:lat|latitude))=({_NUM})(.*)$"
+    plng = rf"(?s)^(.*?[?&])((?i:lng|lon|longitude))=({_NUM})(.*)$"
+    lat_v = F.regexp_extract(v, plat, 3)
+    lng_v = F.regexp_extract(v, plng, 3)
+    ok2 = (lat_v != "") & (lng_v != "") & lat_v.cast("double").between(-90, 90) & \
+        lng_v.cast("double").between(-180, 180)
+    s1 = F.concat(F.regexp_extract(v, plat, 1), F.regexp_extract(v, plat, 2), F.lit("={lat}"),
+                  F.regexp_extract(v, plat, 4))
+    t2 = F.concat(F.regexp_extract(s1, plng, 1), F.regexp_extract(s1, plng, 2), F.lit("={lng}"),
+                  F.regexp_extract(s1, plng, 4))
+    return (F.when(~is_url | v.isNull(), F.lit(None).cast("string"))
+             .when(ok1, t1).when(ok2, t2))

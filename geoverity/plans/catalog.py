@@ -3,3 +3,4 @@
 from . import catalog_evidence  # noqa: F401
 from . import catalog_pipeline  # noqa: F401
 from . import catalog_relational  # noqa: F401
+from . import catalog_scalars  # noqa: F401
