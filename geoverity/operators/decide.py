@@ -42,10 +42,16 @@ def decide_all(df: DataFrame, thresholds: list[tuple[str, float]] | None = None)
 
 def decide_best(df: DataFrame, key: str = "pos") -> DataFrame:
     """per centre the accepted candidate with the highest confidence; the
-    earliest in list order wins ties. Centres without one are absent."""
-    w = Window.partitionBy(key).orderBy(F.desc("calibrated_confidence"), F.asc("cand_pos"))
-    return (df.filter("is_accepted").withColumn("_rn", F.row_number().over(w))
-              .filter("_rn = 1").drop("_rn"))
+    earliest in list order wins ties. Centres without one are absent.
+
+    A partial ``max_by`` aggregate (rows of non-accepted candidates have a NULL
+    ordering value and are skipped): one row per centre and task is shuffled,
+    and the acceptance filter stays above the aggregate instead of being pushed
+    into the evidence stage."""
+    cols = [c for c in df.columns if c != key]
+    order = F.when(F.col("is_accepted"), F.struct(F.col("calibrated_confidence"), -F.col("cand_pos")))
+    return (df.groupBy(key).agg(F.max_by(F.struct(*cols), order).alias("_b"))
+              .filter(F.col("_b").isNotNull()).select(key, "_b.*"))
 
 
 def state_label(state) -> Column:
