@@ -28,8 +28,8 @@ def register(key: str, sql: str | None = None, views: tuple[str, ...] = ()):
 
 def r6(df: DataFrame) -> DataFrame:
     """Round every double column (top level) to 6 decimals."""
-    return df.select(*[F.round(F.col(f.name), 6).alias(f.name)
-                       if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else F.col(f.name)
+    return df.select(*[F.round(F.col(f"`{f.name}`"), 6).alias(f.name)
+                       if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else F.col(f"`{f.name}`")
                        for f in df.schema.fields])
 
 
