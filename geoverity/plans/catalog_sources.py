@@ -170,3 +170,85 @@ def q_k2(spark, sf):
     as partitioned JSON lines rather than one array through one task)."""
     c = inputs.centres(spark, sf)
     return c.agg(F.count(F.lit(1)).alias("total_centres")).withColumn("version", F.lit(K.DATASET_VERSION))
+
+
+# Provider payloads -------------------------------------------------------
+def landed_payloads(spark, sf):
+    """One landed response per fixture candidate, in its provider's layout."""
+    from pyspark.sql import functions as F
+    c = inputs.candidates(spark, sf)
+    q = F.concat(F.lit("q"), F.col("pos").cast("string"), F.lit("_"), F.col("query_rank").cast("string"))
+    nomi = F.to_json(F.array(F.struct(
+        F.concat(F.col("name"), F.lit(", "), F.col("city")).alias("display_name"),
+        F.col("latitude").cast("string").alias("lat"), F.col("longitude").cast("string").alias("lon"),
+        (F.col("confidence") / 2).alias("importance"), F.col("raw_type").alias("type"),
+        F.struct(F.lit("12").alias("house_number"), F.lit("Main Road").alias("road"),
+                 F.col("city").alias("town"), F.col("country").alias("country")).alias("address"))))
+    feat = F.struct(F.lit("Feature").alias("type"),
+                    F.struct(F.array(F.col("longitude"), F.col("latitude")).alias("coordinates")).alias("geometry"),
+                    F.struct(F.col("name").alias("name"), F.col("city").alias("city"),
+                             F.col("country").alias("country"), F.lit("Main Road").alias("street"),
+                             F.concat(F.col("name"), F.lit(", "), F.col("city")).alias("formatted"),
+                             F.col("confidence").alias("score"),
+                             F.struct((F.col("confidence") * 2).alias("confidence")).alias("rank"),
+                             F.col("raw_type").alias("category")).alias("properties"))
+    geo = F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), F.array(feat).alias("features")))
+    el = F.struct(F.col("cand_pos").alias("id"),
+                  F.when(F.col("cand_pos") % 2 == 0, F.col("latitude")).alias("lat"),
+                  F.when(F.col("cand_pos") % 2 == 0, F.col("longitude")).alias("lon"),
+                  F.struct(F.col("latitude").alias("lat"), F.col("longitude").alias("lon")).alias("center"),
+                  F.create_map(F.lit("name"), F.col("name"), F.lit("addr:city"), F.col("city"),
+                               F.lit("addr:country"), F.when(F.col("country") == "India", F.lit("in"))
+                               .otherwise(F.lit("XX")), F.lit("amenity"), F.lit("school")).alias("tags"))
+    ovp = F.to_json(F.struct(F.array(el).alias("elements")))
+    payload = (F.when(F.col("provider") == "nominatim", nomi).when(F.col("provider") == "overpass", ovp)
+                .otherwise(geo))
+    return c.select(q.alias("query"), "provider", payload.alias("payload"), "pos", "cand_pos")
+
+
+def _parsed(spark, sf, name):
+    from pyspark.sql import functions as F
+    from ..sources import providers as P
+    p = landed_payloads(spark, sf)
+    return r6(P.PARSERS[name](p.filter(F.col("provider") == name)).drop("raw"))
+
+
+@register("parse_nominatim")
+def q_s9(spark, sf):
+    return _parsed(spark, sf, "nominatim")
+
+
+@register("parse_photon")
+def q_s10(spark, sf):
+    return _parsed(spark, sf, "photon")
+
+
+@register("parse_geoapify")
+def q_s11(spark, sf):
+    return _parsed(spark, sf, "geoapify")
+
+
+@register("parse_overpass")
+def q_s12(spark, sf):
+    return _parsed(spark, sf, "overpass")
+
+
+# N16 -------------------------------------------------------------------------------
+@register("parse_request_log")
+def q_n16(spark, sf):
+    """Logged fetch commands (built from the pages table) parsed per row."""
+    from pyspark.sql import functions as F
+    from ..operators.requests import parse_request_log
+    from ..sources.tables import read_table
+    p = read_table(spark, sf, "pages")
+    k = F.col("page_id") % 4
+    cmd = (F.when(k == 0, F.concat(F.lit("curl '"), F.col("url"), F.lit("' -H 'Accept: text/html' --compressed")))
+            .when(k == 1, F.concat(F.lit("curl -X POST '"), F.col("url"), F.lit("' \\\n  -H 'Content-Type: application/json' \\\n  --data '{\"page\": "),
+                                   F.col("page_id").cast("string"), F.lit("}'")))
+            .when(k == 2, F.concat(F.lit("curl -k \""), F.col("url"), F.lit("\" -b 'session=s"),
+                                   F.col("page_id").cast("string"), F.lit("; lang=en' -u 'user:pw'")))
+            .otherwise(F.concat(F.lit("curl -H 'Accept: */*' '"), F.col("url"), F.lit("'"))))
+    r = parse_request_log(p.select("page_id", cmd.alias("command")))
+    return r.select("page_id", "method", "url", F.size("headers").alias("n_headers"), "accept", "content_type",
+                    F.size("cookies").alias("n_cookies"), "data", "json_data", F.col("auth.username").alias("user"),
+                    "compressed", "insecure", F.size("query_params").alias("n_params"), "error")
