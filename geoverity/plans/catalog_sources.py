@@ -252,3 +252,30 @@ def q_n16(spark, sf):
     return r.select("page_id", "method", "url", F.size("headers").alias("n_headers"), "accept", "content_type",
                     F.size("cookies").alias("n_cookies"), "data", "json_data", F.col("auth.username").alias("user"),
                     "compressed", "insecure", F.size("query_params").alias("n_params"), "error")
+
+
+# S14 -------------------------------------------------------------------------------
+@register("stream_ingest_landed")
+def q_s14(spark, sf):
+    """Two landed snapshots (the previous dataset, then the current centres) are
+    ingested by the streaming job in two availableNow runs; the result is the
+    dataset version after the second update."""
+    import uuid
+
+    from pyspark.sql import functions as F
+
+    from ..session import ensure_checkpoint_dir
+    from ..streaming.ingest import current_dataset, start_ingest
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/ingest-{uuid.uuid4().hex}"
+    landing, out = f"{root}/landing", f"{root}/out"
+
+    def land(df, seq):
+        doc = F.to_json(F.array(F.struct("id", "name", "address", "city", "state", "country",
+                                         "postal_code", "latitude", "longitude")))
+        df.select(F.lit(seq).cast("long").alias("seq"), F.col("pos").alias("doc_id"), doc.alias("text")) \
+          .write.mode("append").json(landing)
+    land(inputs.existing(spark, sf), 1)
+    start_ingest(spark, landing, out, NORMALIZED_AT).awaitTermination()
+    land(inputs.centres(spark, sf), 2)
+    start_ingest(spark, landing, out, NORMALIZED_AT).awaitTermination()
+    return r6(current_dataset(spark, out))
