@@ -33,3 +33,27 @@ def q_decide_all(spark, sf):
     return r6(d.filter(F.col("cand_pos").isNotNull()).select(
         "pos", "cand_pos", "provider", "state", "is_accepted", "calibrated_confidence", "raw_score",
         "uncertainty", "rejection_reasons"))
+
+
+def _stats(spark, sf):
+    from ..operators import candidates as C
+    from ..operators import merge as U
+    from ..operators import validate as V
+    from ..operators.reports import pipeline_stats
+    cen = inputs.centres(spark, sf)
+    outcome = geocode_centres(cen, inputs.candidates(spark, sf))
+    return pipeline_stats(cen, outcome, V.validate_centres(cen),
+                          U.update_summary(inputs.existing(spark, sf), cen),
+                          C.provider_usage(inputs.candidates(spark, sf)))
+
+
+@register("summary_metrics")
+def q_k7_metrics(spark, sf):
+    return _stats(spark, sf)
+
+
+@register("summary_report_md")
+def q_k7_text(spark, sf):
+    from ..operators.reports import summary_report_md
+    return summary_report_md(_stats(spark, sf), "2024-01-10 00:00:00", 83.4, 200, "json", 1234567,
+                             "landing/raw.json")
