@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import geo, similarity as sim
-from ..functions.text import alias_detected, lower_words, normalize_country, transliteration_match
+from ..functions.text import (alias_detected, lower_words, normalize_country, py_fixed,
+                              transliteration_match)
 
 # Fields of a candidate's raw provider record that the collectors read.
 RAW_SCHEMA = (
@@ -314,7 +315,7 @@ def historical_evidence(df: DataFrame, has_prev: str | None = None) -> DataFrame
 # E21 signals
 # ---------------------------------------------------------------------------
 def _pct0(x: Column) -> Column:
-    return F.format_string("%.0f%%", x * 100)
+    return F.concat(py_fixed(x * 100.0, 0), F.lit("%"))
 
 
 def positive_signals() -> Column:
@@ -332,7 +333,7 @@ def positive_signals() -> Column:
         F.when(p["providers_agreeing"] >= 2, F.format_string("%d providers agreed", p["providers_agreeing"])),
         F.when(pt["is_educational"], F.format_string("Educational institution (%s)", pt["category"])),
         F.when(h["matches_previous"], F.lit("Historical location matched")),
-        F.when(d.isNotNull() & (d < 1.0), F.format_string("%.0fm from previous location", d * 1000)),
+        F.when(d.isNotNull() & (d < 1.0), F.concat(py_fixed(d * 1000, 0), F.lit("m from previous location"))),
     ]
     return F.filter(F.array(*items), lambda x: x.isNotNull())
 
@@ -347,7 +348,7 @@ def negative_signals() -> Column:
         F.when(t["city_similarity"] < 0.5, F.lit("City mismatch")),
         F.when(~g["on_land"], F.lit("Coordinates in ocean")),
         F.when(~g["reverse_geocode_match"] & dcc.isNotNull() & (dcc > 50),
-               F.format_string("%.0f km from expected city", dcc)),
+               F.concat(py_fixed(dcc, 0), F.lit(" km from expected city"))),
         F.when(p["disagreement"], F.lit("Provider disagreement")),
         F.when(pt["is_negative_type"], F.concat(F.lit("Inappropriate place type: "), pt["negative_type_detail"])),
         F.when(h["large_movement"], F.lit("Large unexpected movement from previous location")),

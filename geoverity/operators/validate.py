@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.geo import on_land
-from ..functions.text import normalize_country, py_float_repr
+from ..functions.text import normalize_country, py_fixed, py_float_repr
 
 
 def _valid_countries() -> Column:
@@ -50,7 +50,7 @@ def low_confidence(threshold: float = K.CONFIDENCE_THRESHOLD) -> Column:
 
 
 def low_confidence_text() -> Column:
-    return F.concat(F.lit("low_confidence: "), F.format_string("%.2f", F.bround(F.col("confidence"), 2)))
+    return F.concat(F.lit("low_confidence: "), py_fixed(F.col("confidence"), 2))
 
 
 def validate_stateless(centres: DataFrame, ocean_check: bool = True) -> DataFrame:
@@ -66,6 +66,10 @@ def confidence_filter(centres: DataFrame, threshold: float = K.CONFIDENCE_THRESH
 
 
 def _checkpoint(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint into the shared checkpoint folder (the session's
+    ``spark.checkpoint.dir``; a scratch folder only when none is configured)."""
+    from ..session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
