@@ -194,3 +194,52 @@ def token_set(a, b) -> Column:
     a = F.coalesce(_c(a), F.lit(""))
     b = F.coalesce(_c(b), F.lit(""))
     return token_set_ratio_udf(a, b)
+
+
+# ---------------------------------------------------------------------------
+# Native Indel ratio (JVM-side, evaluated lazily under CASE): bit-parallel LCS
+# on one 64-bit word for strings of up to 62 characters, a dynamic-programming
+# row scan beyond that.
+# ---------------------------------------------------------------------------
+def _lcs_bits(a: Column, b: Column) -> Column:
+    m = F.length(a)
+    full = F.pow(F.lit(2.0), m).cast("long") - 1
+
+    def mask(ch):
+        return F.aggregate(F.sequence(F.lit(0), m - 1), F.lit(0).cast("long"),
+                           lambda acc, i: acc.bitwiseOR(F.when(F.substring(a, i + 1, 1) == ch,
+                                                               F.pow(F.lit(2.0), i).cast("long"))
+                                                        .otherwise(F.lit(0).cast("long"))))
+
+    def step(v, ch):
+        u = v.bitwiseAND(mask(ch))
+        return (v + u).bitwiseOR(v - u).bitwiseAND(full)
+    v = F.aggregate(F.split(b, ""), full, step)
+    return m - F.bit_count(v)
+
+
+def _lcs_dp(a: Column, b: Column) -> Column:
+    m = F.length(a)
+    zero_row = F.array_repeat(F.lit(0), m + 1)
+
+    def row_step(prev, ch):
+        return F.aggregate(F.sequence(F.lit(1), m), F.array(F.lit(0)), lambda row, j: F.concat(row, F.array(
+            F.when(F.substring(a, j, 1) == ch, F.element_at(prev, j) + 1)
+             .otherwise(F.greatest(F.element_at(prev, j + 1), F.element_at(row, j))))))
+    last = F.aggregate(F.split(b, ""), zero_row, row_step)
+    return F.element_at(last, -1)
+
+
+def lcs_native(a, b) -> Column:
+    a = F.coalesce(_c(a), F.lit(""))
+    b = F.coalesce(_c(b), F.lit(""))
+    return (F.when((F.length(a) == 0) | (F.length(b) == 0), F.lit(0))
+             .when(F.length(a) <= 62, _lcs_bits(a, b)).otherwise(_lcs_dp(a, b)))
+
+
+def ratio_native(a, b) -> Column:
+    """0..100 Indel ratio, natively; NULL in -> NULL out."""
+    a, b = _c(a), _c(b)
+    total = F.length(a) + F.length(b)
+    return F.when(a.isNull() | b.isNull(), F.lit(None).cast("double")).when(total == 0, F.lit(100.0)) \
+        .otherwise(200.0 * lcs_native(a, b) / total)

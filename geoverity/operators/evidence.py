@@ -38,8 +38,9 @@ def with_raw_features(df: DataFrame, raw_col: str = "raw") -> DataFrame:
     """Parse the raw JSON record once into a narrow struct ``rawf`` and a
     non-empty flag, so later stages never carry the payload."""
     raw = F.col(raw_col)
-    keys = F.json_object_keys(raw)
-    return (df.withColumn("raw_nonempty", F.coalesce(F.size(keys) > 0, F.lit(False)))
+    # a JSON object with at least one key (no second parse: ``{}`` is the empty one)
+    nonempty = raw.isNotNull() & raw.rlike(r"^\s*\{") & ~raw.rlike(r"^\s*\{\s*\}\s*$")
+    return (df.withColumn("raw_nonempty", F.coalesce(nonempty, F.lit(False)))
               .withColumn("rawf", F.from_json(raw, RAW_SCHEMA)))
 
 
@@ -100,7 +101,7 @@ def reverse_match(ref_city, ref_country, rev_city, rev_country) -> Column:
     rc, vc = F.lower(_s(ref_city)), F.lower(_s(rev_city))
     rn, vn = F.lower(_s(ref_country)), F.lower(_s(rev_country))
     both_city = (rc != "") & (vc != "")
-    city_hit = both_city & (F.contains(vc, rc) | F.contains(rc, vc) | (sim.ratio(
+    city_hit = both_city & (F.contains(vc, rc) | F.contains(rc, vc) | (sim.ratio_native(
         F.when(both_city, rc), F.when(both_city, vc)) > 70))
     country_hit = (rn != "") & (vn != "") & (F.contains(vn, rn) | F.contains(rn, vn))
     return F.coalesce(city_hit, F.lit(False)) | country_hit
@@ -111,7 +112,7 @@ def admin_hierarchy_valid(ref_state, ref_country, rev_state, rev_country) -> Col
     rn, vn = F.lower(_s(ref_country)), F.lower(_s(rev_country))
     country_bad = (rn != "") & (vn != "") & ~F.contains(vn, rn) & ~F.contains(rn, vn)
     state_cmp = (rs != "") & (vs != "") & ~F.contains(vs, rs) & ~F.contains(rs, vs)
-    state_bad = state_cmp & (sim.ratio(F.when(state_cmp, rs), F.when(state_cmp, vs)) < 60)
+    state_bad = state_cmp & (sim.ratio_native(F.when(state_cmp, rs), F.when(state_cmp, vs)) < 60)
     return ~(country_bad | F.coalesce(state_bad, F.lit(False)))
 
 
@@ -298,9 +299,9 @@ def historical_evidence(df: DataFrame, has_prev: str | None = None) -> DataFrame
     pname, paddr = _s("prev_name"), _s("prev_address")
     name_cmp = hp & (pname != "")
     addr_cmp = hp & (paddr != "")
-    name_changed = name_cmp & (sim.ratio(F.when(name_cmp, F.lower(_s("name"))),
+    name_changed = name_cmp & (sim.ratio_native(F.when(name_cmp, F.lower(_s("name"))),
                                          F.when(name_cmp, F.lower(pname))) < 70)
-    addr_changed = addr_cmp & (sim.ratio(F.when(addr_cmp, F.lower(_s("address"))),
+    addr_changed = addr_cmp & (sim.ratio_native(F.when(addr_cmp, F.lower(_s("address"))),
                                          F.when(addr_cmp, F.lower(paddr))) < 60)
     h = F.struct(hp.alias("has_previous_data"),
                  F.coalesce(dist <= 1.0, F.lit(False)).alias("matches_previous"),

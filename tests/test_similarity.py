@@ -66,3 +66,15 @@ def test_column_helpers(spark):
     assert got == [1.0, 0.8, 0.0, 1.0]
     r = [x[0] for x in df.select(S.ratio(F.lower("a"), F.lower("b"))).collect()]
     assert abs(r[1] - S.indel_ratio("a bcd", "a bce")) < 1e-9
+
+
+def test_native_ratio_matches_python(spark):
+    rnd = random.Random(5)
+    pairs = [("bangalore", "bengaluru"), ("", "x"), ("abc", "abc"), ("a" * 70, "a" * 65 + "b" * 9)]
+    for _ in range(60):
+        pairs.append(("".join(rnd.choice("abc ") for _ in range(rnd.randint(0, 80))),
+                      "".join(rnd.choice("abc ") for _ in range(rnd.randint(0, 80)))))
+    df = spark.createDataFrame(pairs, "a string, b string")
+    got = [r[0] for r in df.select(S.ratio_native("a", "b")).collect()]
+    for (a, b), g in zip(pairs, got):
+        assert abs(g - S.indel_ratio(a, b)) < 1e-9, (a, b, g)
