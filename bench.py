@@ -18,6 +18,8 @@ from geoverity.plans import catalog  # noqa: E402,F401
 from geoverity.plans.registry import QUERIES  # noqa: E402
 from geoverity.session import build_session  # noqa: E402
 
+WARMUP_SF = "/root/testdata/sf0.001"
+
 HEADLINE = [
     "geocode_centres",      # flagship: full verification + best match, all centres
     "decide_all",           # per-candidate decisions
@@ -35,6 +37,11 @@ HEADLINE = [
 def main() -> None:
     sf = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     spark = build_session()
+    # one pass of the flagship over the smallest tables starts the Python
+    # workers and warms the JIT; its time is reported separately
+    t0 = time.time()
+    QUERIES["geocode_centres"](spark, WARMUP_SF).write.format("noop").mode("overwrite").save()
+    warmup = round(time.time() - t0, 3)
     times: dict[str, float] = {}
     for name in HEADLINE:
         if name not in QUERIES:
@@ -50,6 +57,7 @@ def main() -> None:
         "metric": "headline_total_sec", "value": total, "unit": "sec", "queries": times,
         "sf": os.path.basename(sf.rstrip("/")).replace("sf", ""),
         "flagship_candidates_per_sec": round(n_cands / flag, 1) if flag else None,
+        "warmup_sec": warmup,
     }))
     spark.stop()
 
