@@ -44,8 +44,14 @@ def cache_upsert(log: DataFrame, ttl: Column | None = None) -> DataFrame:
                     .alias("expires_at"))
 
 
+def _as_of(table: DataFrame, as_of: dt.datetime) -> Column:
+    """``as_of`` typed like the table's timestamps (a wall-clock value for
+    TIMESTAMP_NTZ), so the comparison does not depend on the session time zone."""
+    return F.lit(as_of.strftime("%Y-%m-%d %H:%M:%S.%f")).cast(table.schema["expires_at"].dataType)
+
+
 def _live(table: DataFrame, as_of: dt.datetime) -> DataFrame:
-    return table.filter(F.col("expires_at") >= F.lit(as_of))
+    return table.filter(F.col("expires_at") >= _as_of(table, as_of))
 
 
 def cache_lookup(table: DataFrame, requests: DataFrame, as_of: dt.datetime) -> DataFrame:
@@ -70,7 +76,7 @@ def cache_has(table: DataFrame, requests: DataFrame, as_of: dt.datetime) -> Data
 
 def cache_cleanup_expired(table: DataFrame, as_of: dt.datetime) -> tuple[DataFrame, DataFrame]:
     """(remaining table, one-row count of removed entries)."""
-    expired = F.col("expires_at") < F.lit(as_of)
+    expired = F.col("expires_at") < _as_of(table, as_of)
     return (table.filter(~expired),
             table.agg(F.sum(F.when(expired, 1).otherwise(0)).cast("long").alias("removed")))
 
