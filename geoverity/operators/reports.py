@@ -50,27 +50,23 @@ def run_metrics(total_centres: Column | int, runtime_sec: float) -> dict:
             "runtime": format_duration(F.lit(runtime_sec))}
 
 
-def _one(df: DataFrame) -> DataFrame:
-    return df.withColumn("_k", F.lit(1))
-
-
 def pipeline_stats(centres: DataFrame, outcome: DataFrame, validation: DataFrame, update: DataFrame,
                    usage: DataFrame) -> DataFrame:
-    """K7 metrics: one row from single-row aggregates joined on a constant key
-    (each input is aggregated map-side first)."""
-    a = _one(centres.agg(F.count(F.lit(1)).alias("total_centres")))
-    b = _one(outcome.agg(F.sum(F.when(F.col("geocoded"), 1).otherwise(0)).cast("long").alias("geocoded_centres")))
-    c = _one(validation.agg(F.sum(F.when(~F.col("is_valid"), 1).otherwise(0)).cast("long").alias("failed_centres"),
+    """K7 metrics: one row built from single-row aggregates (each input is
+    aggregated map-side first) placed side by side without a join."""
+    from .merge import side_by_side
+    a = (centres.agg(F.count(F.lit(1)).alias("total_centres")))
+    b = (outcome.agg(F.sum(F.when(F.col("geocoded"), 1).otherwise(0)).cast("long").alias("geocoded_centres")))
+    c = (validation.agg(F.sum(F.when(~F.col("is_valid"), 1).otherwise(0)).cast("long").alias("failed_centres"),
                             *[F.sum(F.when(F.coalesce(F.col("reason"), F.lit("")).startswith(p), 1).otherwise(0))
                               .cast("long").alias(f"check_{p}") for p in
                               ["missing_coordinates", "ocean_coordinates", "wrong_country", "duplicate_id",
                                "duplicate_coords", "low_confidence"]]))
-    d = _one(update.select("new_centres", "updated_centres", "removed_centres"))
-    e = _one(usage.agg(F.coalesce(F.sum("calls"), F.lit(0)).cast("long").alias("api_calls"),
+    d = update.select("new_centres", "updated_centres", "removed_centres")
+    e = (usage.agg(F.coalesce(F.sum("calls"), F.lit(0)).cast("long").alias("api_calls"),
                        F.map_from_entries(F.array_sort(F.collect_list(F.struct("provider", "calls"))))
                        .alias("provider_usage")))
-    return a.join(b, "_k").join(c, "_k").join(d, "_k").join(e, "_k").drop("_k").withColumn(
-        "cache_hits", F.lit(0).cast("long"))
+    return side_by_side(a, b, c, d, e).withColumn("cache_hits", F.lit(0).cast("long"))
 
 
 def summary_report_md(stats: DataFrame, generated: str, runtime_sec: float, download_status: int = 0,
