@@ -10,8 +10,10 @@ null key sorts after every other key.
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
-from pyspark import StorageLevel
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -92,4 +94,73 @@ class Rolling:
         return mix64(mix64(d) + (end - start).astype(np.uint64))
 
 
-PERSIST = StorageLevel.DISK_ONLY
+
+def landed(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a written table in the shared folder of ``spark.checkpoint.dir``."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+#: A Bloom filter is broadcast up to this size; beyond it the rows are joined by shuffle.
+MAX_BLOOM_BYTES = 64 << 20
+BITS_PER_KEY = 12
+_BLOCK_BITS = 1 << 19
+
+
+class Bloom:
+    """Membership of int64 keys with about 0.5 % false hits; built from blocks in Spark tasks."""
+
+    def __init__(self, words: np.ndarray) -> None:
+        self.words = words  # uint8, a power of two of blocks
+
+    @staticmethod
+    def places(keys: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray]:
+        """Block of each key, and its four bits there."""
+        h = mix64(keys.view(np.uint64))
+        block = (h >> np.uint64(40)).astype(np.int64) & (blocks - 1)
+        g = mix64(h)
+        bits = np.stack([(g >> np.uint64(16 * i)) for i in range(4)]) ^ (h << np.uint64(3))
+        return block, (bits % np.uint64(_BLOCK_BITS)).astype(np.int64)
+
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        blocks = len(self.words) * 8 // _BLOCK_BITS
+        block, bits = self.places(keys, blocks)
+        hit = np.ones(len(keys), bool)
+        for b in bits:
+            at = block * _BLOCK_BITS + b
+            hit &= (self.words[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+        return hit
+
+
+def bloom_of(keys: DataFrame, max_bytes: int = MAX_BLOOM_BYTES) -> Bloom | None:
+    """Bloom filter of a landed one-column (bigint) table; None if it would pass ``max_bytes``.
+
+    The blocks are made in Spark tasks; what comes to the driver is the filter, of a size
+    known from the count before it is made.
+    """
+    count = keys.count()
+    blocks = 1 << max(0, (max(1, count * BITS_PER_KEY) - 1) // _BLOCK_BITS).bit_length()
+    if blocks * _BLOCK_BITS // 8 > max_bytes:
+        return None
+    name = keys.columns[0]
+
+    def number(batches):
+        for b in batches:
+            k = b.column(0).to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(Bloom.places(k, blocks)[0])], ["key", "block"])
+
+    def fill(group: pa.Table) -> pa.Table:
+        words = np.zeros(_BLOCK_BITS // 8, np.uint8)
+        for bits in Bloom.places(group.column("key").to_numpy(), blocks)[1]:
+            np.bitwise_or.at(words, bits >> 3, (1 << (bits & 7)).astype(np.uint8))
+        return pa.table({"block": group.column("block")[:1], "words": pa.array([words.tobytes()], pa.binary())})
+
+    made = (keys.select(F.col(name)).mapInArrow(number, "key bigint, block bigint")
+            .groupBy("block").applyInArrow(fill, "block bigint, words binary").collect())
+    words = np.zeros(blocks * _BLOCK_BITS // 8, np.uint8)
+    for r in made:
+        at = r.block * _BLOCK_BITS // 8
+        words[at:at + _BLOCK_BITS // 8] = np.frombuffer(bytes(r.words), np.uint8)
+    return Bloom(words)
