@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, licenses, line_quality, near_dedup, substring_dedup, toxicity, url_filter
+from . import bpe, licenses, line_quality, near_dedup, secrets, substring_dedup, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_byte_bpe": bpe.op2_byte_bpe,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_url_filter": url_filter.op4_url_filter,
     "op5_near_dedup": near_dedup.op5_near_dedup,
     "op6_substring_dedup": substring_dedup.op6_substring_dedup,
+    "op7_secret_scan": secrets.op7_secret_scan,
     "op8_license_scan": licenses.op8_license_scan,
     "op10_line_quality": line_quality.op10_line_quality,
 }
