@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, licenses, line_quality, near_dedup, secrets, substring_dedup, toxicity, url_filter
+from . import bpe, decontaminate, licenses, line_quality, near_dedup, secrets, substring_dedup, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontaminate": decontaminate.op1_decontaminate,
     "op2_byte_bpe": bpe.op2_byte_bpe,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_url_filter": url_filter.op4_url_filter,
