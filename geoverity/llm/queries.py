@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, licenses, line_quality, near_dedup, secrets, substring_dedup, toxicity, url_filter
+from . import bpe, decontaminate, licenses, line_quality, near_dedup, secrets, substring_dedup, suffix_dedup, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -17,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_substring_dedup": substring_dedup.op6_substring_dedup,
     "op7_secret_scan": secrets.op7_secret_scan,
     "op8_license_scan": licenses.op8_license_scan,
+    "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
     "op10_line_quality": line_quality.op10_line_quality,
 }
 
