@@ -19,7 +19,7 @@ every repeated document row gets its rows; empty tables give an empty result.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 import pyarrow as pa
@@ -155,6 +155,29 @@ class Block:
 _blocks: dict[str, Block] = {}
 
 
+def item_blocks(items: DataFrame, item_col: str, item_text_col: str, block_chars: int) -> Iterator[list[tuple]]:
+    """The normalised items, some at a time: blocks of about ``block_chars`` characters by the item's hash."""
+    wanted = items.select(F.col(f"`{item_col}`").alias("k"), F.col(f"`{item_text_col}`").alias("t")).where("t IS NOT NULL")
+    chars = wanted.agg(F.sum(F.length("t"))).first()[0] or 0
+    blocks = max(1, -(-chars // block_chars))
+    for number in range(blocks):
+        rows = wanted.where(F.pmod(F.xxhash64("k", "t"), F.lit(blocks)) == number).orderBy("k", "t").collect()
+        yield [(r.k, n) for r in rows if len(n := normal(r.t)) >= MIN_CHARS]
+
+
+def block_in_worker(spark: SparkSession, items: list[tuple], rate: float) -> Callable[[], Block]:
+    """Builds the automaton of a block once in each Python worker, which holds one block at a time."""
+    sent, name = spark.sparkContext.broadcast(items), uuid.uuid4().hex
+
+    def get() -> Block:
+        if name not in _blocks:
+            _blocks.clear()
+            _blocks[name] = Block(sent.value, rate)
+        return _blocks[name]
+
+    return get
+
+
 def leaks(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
           item_text_col: str = "text", rate: float = RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(key, item key, ``distance``, ``start``, ``end``, ``n_places``): one row per document and item found in
@@ -162,34 +185,20 @@ def leaks(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str
     docs = df.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text"))
     kinds = [df.schema[id_col].dataType.simpleString(), items.schema[item_col].dataType.simpleString()]
     schema = f"`{id_col}` {kinds[0]}, `{item_col}` {kinds[1]}, distance int, start bigint, `end` bigint, n_places int"
-    wanted = items.select(F.col(f"`{item_col}`").alias("k"), F.col(f"`{item_text_col}`").alias("t")).where("t IS NOT NULL")
-    chars = wanted.agg(F.sum(F.length("t"))).first()[0] or 0
-    blocks = max(1, -(-chars // block_chars))
-    part = F.pmod(F.xxhash64("k", "t"), F.lit(blocks))
-    results = []
-    for number in range(blocks):
-        rows = wanted.where(part == number).orderBy("k", "t").collect()
-        found = scan_block(docs, [(r.k, n) for r in rows if len(n := normal(r.t)) >= MIN_CHARS], rate, schema)
-        # with several blocks each one's result is written, so that one block at a time is held
-        results.append(found if blocks == 1 else landed(found))
-    out = results[0]
-    for more in results[1:]:
-        out = out.unionAll(more)
+    out = None
+    for block in item_blocks(items, item_col, item_text_col, block_chars):
+        found = scan_block(docs, block_in_worker(docs.sparkSession, block, rate), schema)
+        # every block but a single one is written at once
+        out = found if out is None else landed(out).unionAll(landed(found))
     return out
 
 
-def scan_block(docs: DataFrame, items: list[tuple[int, str]], rate: float, schema: str) -> DataFrame:
-    sent, name = docs.sparkSession.sparkContext.broadcast(items), uuid.uuid4().hex
-
+def scan_block(docs: DataFrame, block: Callable[[], Block], schema: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if name not in _blocks:  # one automaton in a worker at a time
-            _blocks.clear()
-            _blocks[name] = Block(sent.value, rate)
-        block = _blocks[name]
         for batch in batches:
             out = []
             for key, text in zip(batch.column(0), batch.column(1).to_pylist()):
-                if text and (found := block.matches(normal(text))):
+                if text and (found := block().matches(normal(text))):
                     at = origins(text)
                     out += [(key.as_py(), k, d, at[a], at[b - 1] + 1, n) for k, d, a, b, n in found]
             if out:
@@ -201,6 +210,25 @@ def scan_block(docs: DataFrame, items: list[tuple[int, str]], rate: float, schem
     return docs.mapInArrow(run, schema)
 
 
+def without_leaks(df: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id",
+                  item_text_col: str = "text", rate: float = RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """The rows of ``df``, all columns, whose text holds no item. No shuffle."""
+    at, first = df.columns.index(text_col), True
+    for items_ in item_blocks(items, item_col, item_text_col, block_chars):
+        df = df if first else landed(df)
+        df, first = clean_rows(df, block_in_worker(df.sparkSession, items_, rate), at), False
+    return df
+
+
+def clean_rows(df: DataFrame, block: Callable[[], Block], at: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = [not (t and block().matches(normal(t))) for t in batch.column(at).to_pylist()]
+            yield batch.filter(pa.array(ok, pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages of ``benchmark`` in every whole text of ``documents``."""
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -269,25 +269,45 @@ class Finder:
         return labels if links.isEmpty() else connected(labels, links)
 
 
+def _grouped(finder: Finder) -> DataFrame:
+    """(c, least_id, least_th): of each class, the smallest document of its component."""
+    labels = finder.labels()
+    lowest = finder.classes.select("c", "id", "th").join(labels, "c", "left") \
+        .select("c", "id", "th", F.coalesce("comp", "c").alias("comp"))
+    least = lowest.groupBy("comp").agg(F.min(F.struct("id", "th")).alias("least"))
+    return lowest.join(least, "comp").select("c", F.col("least.id").alias("least_id"), F.col("least.th").alias("least_th"))
+
+
 def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, threshold: int = 80,
                miss: float = MISS, max_bloom: int = MAX_BLOOM_BYTES) -> DataFrame:
     """One row per document: key, ``n_shingles``, ``component_id`` (smallest key reachable over links of at
     least ``threshold`` percent similarity), ``kept`` (it is its component's smallest key)."""
     docs = keyed(df, id_col, text_col)
     finder = Finder(docs, k, threshold, miss, max_bloom)
-    labels = finder.labels()
-    lowest = finder.classes.select("c", "id").join(labels, "c", "left") \
-        .select("c", "id", F.coalesce("comp", "c").alias("comp"))
-    least = lowest.groupBy("comp").agg(F.min("id").alias("component"))
-    by_class = lowest.join(least, "comp").select("c", "component")
-    out = finder.sets.select("id", "n", "c").join(by_class, "c", "left")
-    whole = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id"))
+    out = finder.sets.select("id", "n", "c").join(_grouped(finder), "c", "left")
+    whole = F.when(F.col("n") > 0, F.col("least_id")).otherwise(F.col("id"))
     null = lambda x: F.when(x != NULL_KEY, x)
     kind = docs.schema["_id"].dataType
     return out.select(null(F.col("id")).cast(kind).alias(id_col), F.col("n").alias("n_shingles"),
                       null(whole).cast(kind).alias("component_id"), (F.col("id") == whole).alias("kept"))
 
 
+def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, threshold: int = 80) -> DataFrame:
+    """The rows of ``df``, all columns: of each component the row with the smallest (key, text hash), of repeated
+    rows one; rows without words stay."""
+    mine = keyed(df, id_col, text_col)
+    finder = Finder(mine, k, threshold)
+    stay = finder.sets.select("id", "th", "n", "c").join(_grouped(finder), "c", "left") \
+        .where("n = 0 OR (id = least_id AND th = least_th)")
+    stay = landed(stay.groupBy("id", "th").agg(F.count("*").alias("times")))
+    out = df.withColumns({"__id": F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NULL_KEY)),
+                          "__th": F.hash(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))})
+    out = out.join(stay.select(F.col("id").alias("__id"), F.col("th").alias("__th")), ["__id", "__th"], "left_semi")
+    if not stay.where("times > 1").isEmpty():
+        out = out.dropDuplicates(["__id", "__th"])
+    return out.select(*[F.col(f"`{c}`") for c in df.columns])
+
+
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of near-duplicate ``documents`` (4-word shingles, similarity of 0.8 or more)."""
     return components(table(spark, sf_dir, "documents"), k=4)
