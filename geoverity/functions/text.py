@@ -174,11 +174,15 @@ def url_query_params(url) -> Column:
     entries = F.transform(parts, lambda p: F.struct(
         dec(F.substring_index(p, "=", 1)).alias("key"),
         dec(F.regexp_extract(p, r"^[^=]*=(.*)$", 1)).alias("value")))
-    # keep the last occurrence of each key (independent of mapKeyDedupPolicy)
-    last = F.filter(entries, lambda e, i: ~F.exists(
+    return last_wins_map(entries)
+
+
+def last_wins_map(entries: Column) -> Column:
+    """Map of ``(key, value)`` entries, the last of equal keys kept (independent
+    of the session's mapKeyDedupPolicy)."""
+    return F.map_from_entries(F.filter(entries, lambda e, i: ~F.exists(
         F.slice(entries, i + 2, F.greatest(F.size(entries) - i - 1, F.lit(1))),
-        lambda x: (x["key"] == e["key"]) & (F.size(entries) > i + 1)))
-    return F.map_from_entries(last)
+        lambda x: (x["key"] == e["key"]) & (F.size(entries) > i + 1))))
 
 
 _NUM = r"-?\d+\.\d{2,8}"

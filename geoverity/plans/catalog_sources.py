@@ -20,14 +20,14 @@ NORMALIZED_AT = "2024-01-10T00:00:00"
 
 # the reshaping target used by the registered query (a user's sample record)
 SAMPLE_OUTPUT = {
-    "id": "1",
-    "centre_name": "Legacy School",
-    "address": {"city": "Bangalore", "zip": "560001"},
-    "location": {"lat": 12.9716, "lng": 77.5946},
-    "latitude": 12.9716,
-    "links": {"google_maps": "https://maps.google.com/?q=12.9716,77.5946"},
-    "TestCenterCode": "TC001",
-    "type": "test_centre",
+    "id": "A-17",
+    "centre_name": "Riverside College",
+    "address": {"city": "Pune", "zip": "411001"},
+    "location": {"lat": 18.52, "lng": 73.85},
+    "latitude": 18.52,
+    "links": {"map": "https://maps.example.org/view?at=18.5204,73.8567&zoom=9"},
+    "TestCenterCode": "A17",
+    "type": "school",
 }
 
 
@@ -132,13 +132,6 @@ def q_x1(spark, sf):
     return r6(X.flatten_columns(n.drop("record")))
 
 
-@register("infer_schema_map")
-def q_x2(spark, sf):
-    df = _centres_with_raw(spark, sf)
-    plan = X.plan_schema_map(df, SAMPLE_OUTPUT)
-    return spark.createDataFrame(list(plan.items()), "field string, source string")
-
-
 @register("apply_schema")
 def q_x4(spark, sf):
     df = _centres_with_raw(spark, sf)
