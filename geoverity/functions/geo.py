@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import constants as K
+from .text import py_fixed
 
 
 def _c(x) -> Column:
@@ -33,16 +34,10 @@ def on_land(lat, lon) -> Column:
 
 
 def _decimals(x: Column) -> Column:
-    """Decimals left in ``%.6f`` after stripping trailing zeros, computed from
-    the integer ``round(|x| * 1e6)`` (trailing decimal zeros) instead of text
-    formatting; huge values fall back to the formatted text."""
-    n = F.round(F.abs(x) * 1e6).cast("long")
-    tz = F.lit(0)
-    for k in range(1, 7):
-        tz = F.when(n % (10 ** k) == 0, F.lit(k)).otherwise(tz)
-    s = F.regexp_replace(F.format_string("%.6f", x), "0+$", "")
-    txt = F.when(F.instr(s, ".") > 0, F.length(F.substring_index(s, ".", -1))).otherwise(F.lit(0))
-    return F.when(F.abs(x) < 1e12, 6 - tz).otherwise(txt)
+    """Decimals left in ``%.6f`` (half-even on the exact binary value) after
+    stripping trailing zeros."""
+    frac = F.regexp_replace(F.substring_index(py_fixed(F.abs(x), 6), ".", -1), "0+$", "")
+    return F.length(frac)
 
 
 def coordinate_precision(lat, lon) -> Column:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import geo, similarity as sim
-from ..functions.text import (alias_detected, lower_words, normalize_country, py_fixed,
+from ..functions.text import (alias_detected, lower_words, normalize_country, py_fixed, py_strip,
                               transliteration_match)
 
 # Fields of a candidate's raw provider record that the collectors read.
@@ -58,7 +58,7 @@ def country_similarity(q, t) -> Column:
 def postal_similarity(q, t) -> Column:
     """Empty -> 0; equal (stripped) -> 1; one a prefix of the other -> 0.5; else fuzzy."""
     q, t = _s(q), _s(t)
-    qs, ts = F.trim(q), F.trim(t)
+    qs, ts = py_strip(q), py_strip(t)
     return (F.when((q == "") | (t == ""), F.lit(0.0))
              .when(qs == ts, F.lit(1.0))
              .when(qs.startswith(ts) | ts.startswith(qs), F.lit(0.5))

@@ -30,7 +30,7 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         # duplicate keys in URL query strings: the last one wins
         .config("spark.sql.mapKeyDedupPolicy", "LAST_WIN")
-        .config("spark.driver.memory", "16g")
+        .config("spark.driver.memory", "12g")
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
@@ -39,8 +39,8 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's shared ``spark.checkpoint.dir``; set a scratch one only
-    when the session has none (local tests)."""
+    """The cluster's shared ``spark.checkpoint.dir``. Without one a scratch folder is
+    set on a local master only; elsewhere it is an error."""
     sc = spark.sparkContext
     current = (sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
                or spark.conf.get("spark.checkpoint.dir", None))
@@ -48,6 +48,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
         return current
-    path = tempfile.mkdtemp(prefix="geoverity-ckpt-", dir="/tmp")
+    if not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    path = tempfile.mkdtemp(prefix="geoverity-ckpt-")
     sc.setCheckpointDir(path)
     return path
