@@ -7,14 +7,18 @@ the signatures are compared batch by batch and the pair is dropped as soon as th
 posterior probability of the threshold (uniform prior) falls below ``miss``;
 survivors are confirmed on the full shingle sets.
 
-No bucket is expanded into all its pairs while it is whole. First each member is
-compared with one hub of its bucket, taken from the bucket's largest component;
-connected components follow, and members of a bucket that are already connected
-need no comparison. After a few such rounds the pairs of members in different
-components are compared, in buckets that were split by a second band if they are
-large. So links that would not change a component are left out; no component is
-cut short. The chance that a pair at the threshold shares no band is
-``(1 - 0.8**rows)**bands``, 5e-8 here; that of sharing no second one is 1e-6.
+No bucket is expanded into all its pairs. Each member is compared with the hub of
+its bucket (a member near the middle of its group); connected components follow. What can still be missing are links x - y of a bucket whose hub
+h is not linked with x. Write A for the shingles of h that a member lacks and B
+for those that it adds, t for the threshold and c = t / (1 + t). Then x - y is a link
+only if |A_x & A_y| + |B_x & B_y| >= m(x) + (1 - c) * |A_y| + c * |B_y|, where
+m(x) = |A_x| + c * |x| - (1 - c) * |h| is above 0 as h - x is no link. With all
+differences in one order, from rare to frequent among the hub's members, x and y then
+share one of the first |D_x| - m(x) + 1 of x and of the first
+c * |A_y| + (1 - c) * |B_y| - m(x) + 1 of y (prefix filter; D is A and B). Members of a
+hub are joined on just these, so copies with edits of their own, or texts around one
+common passage, meet hardly anybody, and no link is lost. The chance that a pair at
+the threshold shares no band is ``(1 - 0.8**rows)**bands``, 5e-8 here.
 
 Null or empty text, or text without words: an empty set, linked with nothing. A
 null key sorts after every other and is a null component id if nothing else is
@@ -30,7 +34,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import BASES, MAX_BLOOM_BYTES, NULL_KEY, Rolling, bloom_of, landed, mix64, table
@@ -40,8 +44,6 @@ from .substring_dedup import word_bounds
 BANDS, ROWS = 32, 4
 BATCH = 16  # signature values compared at a time
 MISS = 1e-6
-STARS = 4  # rounds of hub comparisons
-SPLIT_PAIRS = 20_000  # buckets with more pairs across components are split by a second band
 
 _A, _B = (mix64(np.arange(i, i + BANDS * ROWS, dtype=np.uint64)) for i in (1, 10_001))
 _A |= np.uint64(1)
@@ -229,44 +231,90 @@ class Finder:
     def _placed(self, labels: DataFrame) -> DataFrame:
         return self.members.join(labels, "c")
 
-    def star(self, labels: DataFrame, turn: int) -> DataFrame:
-        """(a, b): members of a bucket outside its largest component, with one hub from that."""
-        placed = self._placed(labels)
-        parts = placed.groupBy("key", "comp").agg(
-            F.count("*").alias("size"), F.min(F.struct(F.xxhash64("c", "key", F.lit(turn)).alias("h"), "c")).alias("hub"))
-        hubs = parts.groupBy("key").agg(F.count("*").alias("kinds"), F.max(F.struct("size", "comp", "hub")).alias("x")) \
-            .where("kinds > 1").select("key", F.col("x.comp").alias("hub_comp"), F.col("x.hub.c").alias("hub"))
-        return (placed.join(hubs, "key").where("comp != hub_comp")
-                .select(F.col("hub").alias("a"), F.col("c").alias("b")).distinct())
-
-    def across(self, labels: DataFrame) -> DataFrame:
-        """(a, b) that survive pruning, of members of one bucket in different components."""
-        placed = self._placed(labels)
-        parts = placed.groupBy("key", "comp").agg(F.count("*").alias("size"))
-        mixed = parts.groupBy("key").agg(
-            F.count("*").alias("kinds"), F.sum("size").alias("all"),
-            F.sum(F.col("size").cast("double") * F.col("size")).alias("squares")).where("kinds > 1")
-        mixed = mixed.select("key", ((F.col("all").cast("double") * F.col("all") - F.col("squares")) / 2 > SPLIT_PAIRS).alias("big"))
-        rows = landed(placed.join(mixed, "key"))
-        again = self.members.select("c", F.col("key").alias("other"))
-        split = rows.where("big").join(again, "c").where("key < other").select(
-            F.xxhash64("key", "other").alias("key"), "c", "comp")
-        rows = rows.where("NOT big").select("key", "c", "comp").union(split)
-        rows = rows.join(self.sigs.select("c", "n", "sig"), "c")
-        left, right = (rows.select("key", F.col("c").alias(x), F.col("comp").alias(f"{x}_comp"), F.col("n").alias(f"{x}_n"),
-                                   F.col("sig").alias(f"{x}_sig")) for x in ("a", "b"))
-        return self.prune(left.join(right, "key").where("a_comp < b_comp"))
+    def hubs(self) -> DataFrame:
+        """(c, hub): every member of a crowded bucket with that bucket's hub.
+
+        A bucket's most crowded member (it stands in the largest buckets) gives way to the most crowded one of all
+        its own buckets, and that again, so that the buckets of one group share a hub near its middle. A bucket has
+        one hub, whether or not that is in the bucket, so members of a bucket share a hub.
+        """
+        size = self.members.groupBy("key").agg(F.count("*").alias("size"))
+        crowd = self.members.join(size, "key").groupBy("c").agg(F.sum("size").alias("crowd"))
+        placed = landed(self.members.join(crowd, "c"))
+        first = placed.groupBy("key").agg(F.max(F.struct("crowd", "c")).alias("top"))
+        placed = landed(placed.select("key", "c").join(first, "key"))
+        own = placed.groupBy("c").agg(F.max("top").alias("top")).select("c", F.col("top.c").alias("better"))
+        hubs = placed.select("c", F.col("top.c").alias("hub")).distinct()
+        for _ in range(2):
+            hubs = hubs.join(own.select(F.col("c").alias("hub"), "better"), "hub").select("c", F.col("better").alias("hub"))
+        return hubs.distinct()
+
+    def open_members(self, stars: DataFrame, labels: DataFrame) -> DataFrame:
+        """(hub, c, comp, hub_comp) of hubs with two or more components besides their own or a member beside one."""
+        hub = labels.select(F.col("c").alias("hub"), F.col("comp").alias("hub_comp"))
+        placed = stars.join(labels, "c").join(hub, "hub").where("c != hub")
+        kinds = placed.groupBy("hub").agg(
+            F.min("comp").alias("low"), F.max("comp").alias("high"),
+            F.max(F.col("comp") != F.col("hub_comp")).alias("loose")).where("loose AND low < high").select("hub")
+        return placed.join(kinds, "hub", "left_semi")
+
+    def differences(self, pairs: DataFrame) -> DataFrame:
+        """(hub, c, comp, added, x, margin, asks, offers): the shingles that tell a member from its hub. ``margin``:
+        m of a member outside the hub's component, else null. ``asks``, ``offers``: where its prefixes end."""
+        k, c_ = self.k, self.threshold / (100 + self.threshold)
+        kinds = [pa.int64()] * 3 + [pa.bool_(), pa.int64()] + [pa.float64()] * 3
+        names = ["hub", "c", "comp", "added", "x", "margin", "asks", "offers"]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                out, last, mine = [], None, None
+                for hub, c, comp, loose, text, hub_text in zip(*(batch.column(i).to_pylist() for i in range(6))):
+                    if hub_text != last:
+                        last, mine = hub_text, shingles(hub_text, k)
+                    other = shingles(text, k)
+                    lacks, adds = np.setdiff1d(mine, other, assume_unique=True), np.setdiff1d(other, mine, assume_unique=True)
+                    n = len(adds) + len(lacks)
+                    # the small shifts keep rounding from losing a link
+                    margin = len(lacks) + c_ * len(other) - (1 - c_) * len(mine) - 1e-6 if loose else np.nan
+                    offers = c_ * len(lacks) + (1 - c_) * len(adds) + 1e-6
+                    out.append((np.full(n, hub), np.full(n, c), np.full(n, comp), np.arange(n) < len(adds),
+                                np.r_[adds, lacks].view(np.int64), *(np.full(n, v) for v in (margin, n - margin, offers))))
+                if out:
+                    columns = [np.concatenate(v) for v in zip(*out)]
+                    calm = np.isnan(columns[5])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(v, t, mask=calm if i in (5, 6) else None) for i, (v, t) in enumerate(zip(columns, kinds))], names)
+
+        rows = pairs.select("hub", "c", "comp", (F.col("comp") != F.col("hub_comp")).alias("loose"))
+        rows = rows.join(self.texts.select("c", "text"), "c")
+        rows = rows.join(self.texts.select(F.col("c").alias("hub"), F.col("text").alias("hub_text")), "hub")
+        return rows.select("hub", "c", "comp", "loose", "text", "hub_text").mapInArrow(
+            run, "hub bigint, c bigint, comp bigint, added boolean, x bigint, margin double, asks double, offers double")
+
+    def rest(self, stars: DataFrame, labels: DataFrame) -> DataFrame:
+        """(a, b): pairs that may be links between components, by a shared difference from their hub."""
+        rows = landed(self.differences(self.open_members(stars, labels)))
+        spot = ["hub", "added", "x"]
+        counts = rows.groupBy(*spot).agg(F.count("*").alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high"))
+        order = Window.partitionBy("hub", "c").orderBy("n", "added", "x")
+        rows = landed(rows.join(counts, spot).withColumn("i", F.row_number().over(order) - 1)
+                      .where("low < high AND (i <= asks OR i <= offers)").drop("low", "high", "n"))
+        asks = rows.where("i <= asks").select(*spot, F.col("c").alias("a"), F.col("comp").alias("a_comp"), "margin")
+        offers = rows.where("i <= offers").select(
+            *spot, F.col("c").alias("b"), F.col("comp").alias("b_comp"), (F.col("offers") - F.col("i")).alias("slack"))
+        pairs = asks.join(offers, spot).where("a_comp != b_comp AND margin <= slack")
+        return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
     def labels(self) -> DataFrame:
         """(c, comp) of the classes in crowded buckets."""
         labels = landed(self.nodes.select("c", F.col("c").alias("comp")))
-        for turn in range(STARS):
-            links = landed(self.confirm(self.prune(self.with_sigs(self.star(labels, turn)))))
-            if links.isEmpty():
-                break
-            labels = connected(labels, links)
-        links = landed(self.confirm(self.across(labels)))
-        return labels if links.isEmpty() else connected(labels, links)
+        stars = landed(self.hubs())
+        for pairs in (lambda: stars.where("c != hub").select(F.col("hub").alias("a"), F.col("c").alias("b")),
+                      lambda: self.rest(stars, labels)):
+            links = landed(self.confirm(self.prune(self.with_sigs(pairs()))))
+            if not links.isEmpty():
+                labels = connected(labels, links)
+        return labels
 
 
 def _grouped(finder: Finder) -> DataFrame:

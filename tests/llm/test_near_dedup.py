@@ -68,11 +68,19 @@ def test_brute_force(spark, docs):
     check(spark, docs, rows, 4)
 
 
-def test_split_buckets_and_no_bloom(spark, docs, monkeypatch):
-    monkeypatch.setattr(N, "SPLIT_PAIRS", 3)
-    monkeypatch.setattr(N, "STARS", 1)
+def test_links_beside_the_hub_and_no_bloom(spark, docs):
+    """Copies of copies, insertions and deletions: many links do not touch a bucket's hub."""
     rng = random.Random(9)
-    check(spark, docs, list(enumerate(made(rng, 150))), 3, max_bloom=0)
+    words = [f"w{i}" for i in range(300)]
+    base = [rng.choice(words) for _ in range(70)]
+    rows = []
+    for i in range(160):
+        w = list(rng.choice(rows)[1].split()) if rows and rng.random() < .6 else list(base)
+        for _ in range(rng.choice([0, 1, 2])):
+            at = rng.randrange(len(w))
+            w[at:at + rng.choice([0, 1, 1, 3])] = rng.choice([[], [rng.choice(words)], [rng.choice(words)] * 2])
+        rows.append((i, " ".join(w)))
+    check(spark, docs, rows, 3, max_bloom=0)
 
 
 def test_empty(spark, docs):
