@@ -19,7 +19,7 @@ def audit_entries(decided: DataFrame) -> DataFrame:
     signals, category scores and the raw fused score."""
     return decided.select(
         "pos", "cand_pos", "candidate_id", "provider", "latitude", "longitude",
-        F.col("state").alias("decision"), F.round("calibrated_confidence", 4).alias("confidence"),
+        F.col("state").alias("decision"), py_fixed("calibrated_confidence", 4).cast("double").alias("confidence"),
         "positive_signals", "negative_signals", category_scores().alias("category_scores"),
         F.col("total_score").alias("raw_score"))
 

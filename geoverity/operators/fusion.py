@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
+from ..functions.text import py_fixed
 
 
 def _clip1(x: Column) -> Column:
@@ -99,7 +100,7 @@ def fuse_evidence(df: DataFrame, category_weights: dict | None = None) -> DataFr
         total = term if total is None else total + term
         has = F.when(sc > 0, 1).otherwise(0)
         strength = has if strength is None else strength + has
-    return (out.withColumn("total_score", F.round(total, 4))
+    return (out.withColumn("total_score", py_fixed(total, 4).cast("double"))
                .withColumn("positive_count", F.size("positive_signals"))
                .withColumn("negative_count", F.size("negative_signals"))
                .withColumn("evidence_strength", (strength / F.lit(float(len(w)))) if w else F.lit(0.0)))

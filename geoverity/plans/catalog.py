@@ -7,3 +7,4 @@ from . import catalog_scalars  # noqa: F401
 from . import catalog_text  # noqa: F401
 from . import catalog_sources  # noqa: F401
 from . import oracles_sources  # noqa: F401  (their SQL)
+from . import oracles_decision  # noqa: F401
