@@ -162,15 +162,6 @@ def fold(x) -> Column:
     return F.when(x == "", F.lit("")).otherwise(unicode_fold_udf(F.when(x != "", x)))
 
 
-def token_subset(a: Column, b: Column) -> Column:
-    """Token-set early exit, natively: the token sets share a token and one of
-    them has no token outside the other (the ratio is then exactly 100)."""
-    ta = F.array_distinct(F.filter(F.split(a, " "), lambda w: w != ""))
-    tb = F.array_distinct(F.filter(F.split(b, " "), lambda w: w != ""))
-    return (F.size(F.array_intersect(ta, tb)) > 0) & (
-        (F.size(F.array_except(ta, tb)) == 0) | (F.size(F.array_except(tb, ta)) == 0))
-
-
 def fuzzy_score(q, t) -> Column:
     """0..1 fuzzy field similarity (fold, empty -> 0, equal -> 1, else token-set / 100)."""
     q = F.coalesce(_c(q), F.lit(""))

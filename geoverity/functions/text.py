@@ -177,6 +177,13 @@ def url_query_params(url) -> Column:
     return last_wins_map(entries)
 
 
+def spread_id(id_col, row_col) -> Column:
+    """Join key of a row whose id may be empty: an empty id matches nothing, so each
+    such row gets a key of its own instead of all of them meeting in one task."""
+    i, r = _c(id_col), _c(row_col)
+    return F.when(F.coalesce(i, F.lit("")) != "", i).otherwise(F.concat(F.lit("\x00"), r.cast("string")))
+
+
 def last_wins_map(entries: Column) -> Column:
     """Map of ``(key, value)`` entries, the last of equal keys kept (independent
     of the session's mapKeyDedupPolicy)."""

@@ -31,17 +31,16 @@ def candidates_all_providers(cands: DataFrame, limit: int = K.CANDIDATES_PER_PRO
 
 
 def candidates_fallback(cands: DataFrame) -> DataFrame:
-    """Per (centre, query) only the first provider (in provider order) with results."""
-    w = Window.partitionBy("pos", "query_rank")
-    return (cands.withColumn("_first", F.min("provider_rank").over(w))
-                 .filter(F.col("provider_rank") == F.col("_first")).drop("_first"))
+    """Per (centre, query) only the first provider (in provider order) with results. A partial
+    aggregate and a join that Spark may split, so that a hot centre fills no single task."""
+    first = cands.groupBy("pos", "query_rank").agg(F.min("provider_rank").alias("provider_rank"))
+    return cands.join(first, ["pos", "query_rank", "provider_rank"], "left_semi")
 
 
 def first_successful_query(cands: DataFrame) -> DataFrame:
     """Per centre keep only the candidates of the lowest query rank that has any."""
-    w = Window.partitionBy("pos")
-    return (cands.withColumn("_q", F.min("query_rank").over(w))
-                 .filter(F.col("query_rank") == F.col("_q")).drop("_q"))
+    first = cands.groupBy("pos").agg(F.min("query_rank").alias("query_rank"))
+    return cands.join(first, ["pos", "query_rank"], "left_semi")
 
 
 def candidates_batch(cands: DataFrame, limit: int = K.CANDIDATES_PER_PROVIDER) -> DataFrame:

@@ -46,17 +46,18 @@ def gazetteer_search(queries: DataFrame, gazetteer: DataFrame, k: int = 5,
     g = g.select("gid", "name", F.lower("name").alias("lname"))
     q = queries.select(query_key, F.lower(first_words("query")).alias("phrase"))
     phrases = q.select("phrase").filter(F.col("phrase") != "").distinct()
-    idx = g.select("gid", "name", "lname", F.explode(_ngrams("lname")).alias("gram"))
-    freq = idx.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-    # each phrase's grams of length min(3, len); route it through the rarest one
+    # each phrase's grams of length min(3, len); it is routed through the rarest one
     plen = F.least(F.length("phrase"), F.lit(3))
     pg = phrases.select("phrase", F.explode(F.transform(
         F.sequence(F.lit(1), F.length("phrase") - plen + 1), lambda i: F.substring("phrase", i, plen))
     ).alias("gram"))
+    # (gram, gid) of grams that some phrase has; names are fetched for the hits only
+    idx = g.select("gid", F.explode(_ngrams("lname")).alias("gram")).join(pg.select("gram").distinct(), "gram", "left_semi")
+    freq = idx.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
     route = (pg.join(freq, "gram", "left").fillna(0, ["n"])
                .groupBy("phrase").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram")))
-    hits = (route.join(idx, "gram").filter(F.contains(F.col("lname"), F.col("phrase")))
-                 .select("phrase", "gid", "name"))
+    hits = (route.join(idx, "gram").select("phrase", "gid").join(g, "gid")
+                 .filter(F.contains(F.col("lname"), F.col("phrase"))).select("phrase", "gid", "name"))
     w = Window.partitionBy("phrase").orderBy("gid")
     top = hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
     return q.join(top, "phrase").select(query_key, "rank", "gid", "name")

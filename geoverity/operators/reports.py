@@ -39,17 +39,6 @@ def map_bounds(centres: DataFrame) -> DataFrame:
                  F.min("lo").alias("min_lon"), F.max("lo").alias("max_lon"))
 
 
-def thousands(x) -> Column:
-    """Integer with thousands separators (``f"{n:,}"``)."""
-    return F.format_number(F.col(x) if isinstance(x, str) else x, 0)
-
-
-def run_metrics(total_centres: Column | int, runtime_sec: float) -> dict:
-    """Column expressions for the summary report's metric lines."""
-    return {"total_centres": thousands(F.lit(total_centres) if isinstance(total_centres, int) else total_centres),
-            "runtime": format_duration(F.lit(runtime_sec))}
-
-
 def pipeline_stats(centres: DataFrame, outcome: DataFrame, validation: DataFrame, update: DataFrame,
                    usage: DataFrame) -> DataFrame:
     """K7 metrics: one row built from single-row aggregates (each input is

@@ -46,15 +46,6 @@ def generate_queries(name="name", city="city", state="state", country="country",
     return F.slice(F.array_distinct(arr), 1, max_queries)
 
 
-def with_queries(df: DataFrame) -> DataFrame:
-    return df.withColumn("queries", generate_queries())
-
-
-def explode_queries(df: DataFrame, key: str = "pos") -> DataFrame:
-    """One row per (centre, query_rank, query)."""
-    return df.select(key, F.posexplode("queries").alias("query_rank", "query"))
-
-
 def generate_queries_batch(df: DataFrame) -> DataFrame:
     """Id -> queries; for a repeated id the last centre (highest ``pos``)
     wins. ``max_by`` is a partial (map-side) aggregate, so a hot id is safe."""

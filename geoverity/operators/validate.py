@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.geo import on_land
-from ..functions.text import normalize_country, py_fixed, py_float_repr
+from ..functions.text import normalize_country, py_fixed, py_float_repr, spread_id
 
 
 def _valid_countries() -> Column:
@@ -79,7 +79,8 @@ def accept_first_free(rows: DataFrame) -> DataFrame:
     rows = rows.select("pos", "id", "ck")
     idc = rows.filter(F.col("id") != "").groupBy("id").agg(F.count(F.lit(1)).alias("nid"))
     ckc = rows.groupBy("ck").agg(F.count(F.lit(1)).alias("nck"))
-    tagged = (rows.join(idc, "id", "left").join(ckc, "ck", "left")
+    tagged = (rows.join(idc.withColumnRenamed("id", "k"), spread_id("id", "pos") == F.col("k"), "left").drop("k")
+                  .join(ckc, "ck", "left")
                   .withColumn("free", F.coalesce(F.col("nid"), F.lit(1)) * F.col("nck") == 1))
     tagged = _checkpoint(tagged)
     accepted = tagged.filter("free").select("pos", "id", "ck")
@@ -91,14 +92,15 @@ def accept_first_free(rows: DataFrame) -> DataFrame:
             break
         mid = und.filter(F.col("id") != "").groupBy("id").agg(F.min("pos").alias("mid"))
         mck = und.groupBy("ck").agg(F.min("pos").alias("mck"))
-        cand = und.join(mid, "id", "left").join(mck, "ck", "left")
+        cand = und.join(mid.withColumnRenamed("id", "k"), spread_id("id", "pos") == F.col("k"), "left").drop("k") \
+            .join(mck, "ck", "left")
         now = _checkpoint(cand.filter(((F.col("id") == "") | (F.col("pos") == F.col("mid")))
                                       & (F.col("pos") == F.col("mck"))).select("pos", "id", "ck"))
         acc_parts.append(now)
-        ids = now.filter(F.col("id") != "").select("id")
+        ids = now.filter(F.col("id") != "").select(F.col("id").alias("k"))
         cks = now.select("ck")
         und = (und.join(now.select("pos"), "pos", "left_anti")
-                  .join(ids, "id", "left_anti").join(cks, "ck", "left_anti"))
+                  .join(ids, spread_id("id", "pos") == F.col("k"), "left_anti").join(cks, "ck", "left_anti"))
     out = acc_parts[0]
     for p in acc_parts[1:]:
         out = out.unionByName(p)
@@ -121,7 +123,11 @@ def validate_centres(centres: DataFrame, threshold: float = K.CONFIDENCE_THRESHO
     first_id = (acc.filter(F.col("acc") & (F.col("id") != "")).groupBy("id")
                    .agg(F.min("pos").alias("first_id")))
     first_ck = acc.filter("acc").groupBy("ck").agg(F.min("pos").alias("first_ck"))
-    lab = acc.join(first_id, "id", "left").join(first_ck, "ck", "left")
+    # only rows that a duplicate check rejected look their first holders up
+    asks = acc.filter(F.col("sl").isNull() & ~F.col("acc"))
+    lab = (asks.join(first_id.withColumnRenamed("id", "k"), spread_id("id", "pos") == F.col("k"), "left").drop("k")
+               .join(first_ck, "ck", "left")
+               .unionByName(acc.filter(F.col("sl").isNotNull() | F.col("acc")), allowMissingColumns=True))
     dup_id = (F.col("id") != "") & (F.col("first_id") < F.col("pos"))
     dup_ck = F.col("first_ck") < F.col("pos")
     coord_txt = F.concat(F.lit("("), py_float_repr(F.col("latitude")), F.lit(", "),

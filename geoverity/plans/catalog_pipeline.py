@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from . import inputs
-from .geocode import geocode_centres, geocode_stats, verify_candidates
+from .geocode import geocode_centres, geocode_stats, state_breakdown, verify_candidates
 from .registry import r6, register
 
 
@@ -27,6 +27,11 @@ def q_geocode_stats(spark, sf):
     return geocode_stats(geocode_centres(inputs.centres(spark, sf), inputs.candidates(spark, sf)))
 
 
+@register("state_breakdown")
+def q_state_breakdown(spark, sf):
+    return state_breakdown(geocode_centres(inputs.centres(spark, sf), inputs.candidates(spark, sf), force=True))
+
+
 @register("decide_all")
 def q_decide_all(spark, sf):
     d = verify_candidates(inputs.centres(spark, sf), inputs.candidates(spark, sf), force=True)

@@ -73,7 +73,7 @@ def q_country_variants(spark, sf):
     v = spark.createDataFrame(rows, "variant string, canonical string")
     c = inputs.centres(spark, sf).select("pos", F.lower(F.trim("country")).alias("variant"))
     counts = c.groupBy("variant").agg(F.count("pos").alias("centres"))
-    return (F.broadcast(v).join(counts, "variant", "left")
+    return (v.join(counts, "variant", "left")
              .select("variant", "canonical", F.coalesce("centres", F.lit(0)).alias("centres")))
 
 

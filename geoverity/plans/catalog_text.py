@@ -27,7 +27,7 @@ def _name_pairs(spark, sf):
     """Each centre's name/address against the previous dataset's row at the same position."""
     c = inputs.centres(spark, sf).select("pos", F.col("name").alias("a"), F.col("address").alias("a_addr"))
     e = inputs.existing(spark, sf).select("pos", F.col("name").alias("b"), F.col("address").alias("b_addr"))
-    return c.join(e, "pos")
+    return c.join(e, "pos", "left").fillna("", ["b", "b_addr"])
 
 
 def _decided(spark, sf):
@@ -73,8 +73,8 @@ _ALIAS_SQL = " OR ".join(
 
 
 @register("alias_detect", f"""
-WITH p AS (SELECT c.pos, {_words_sql('c.name')} AS wa, {_words_sql('e.name')} AS wb
-           FROM centres c JOIN existing e ON e.pos = c.pos)
+WITH p AS (SELECT c.pos, {_words_sql('c.name')} AS wa, {_words_sql("coalesce(e.name, '')")} AS wb
+           FROM centres c LEFT JOIN existing e ON e.pos = c.pos)
 SELECT pos, ({_ALIAS_SQL}) AS alias_detected FROM p""", ("centres", "existing"))
 def q_alias(spark, sf):
     p = _name_pairs(spark, sf)
@@ -83,8 +83,8 @@ def q_alias(spark, sf):
 
 
 @register("transliteration_detect", f"""
-WITH p AS (SELECT c.pos, {_fold_sql('c.name')} AS fa, {_fold_sql('e.name')} AS fb
-           FROM centres c JOIN existing e ON e.pos = c.pos),
+WITH p AS (SELECT c.pos, {_fold_sql('c.name')} AS fa, {_fold_sql("coalesce(e.name, '')")} AS fb
+           FROM centres c LEFT JOIN existing e ON e.pos = c.pos),
 q AS (SELECT pos, fa, fb, list_distinct(string_split(fa, '')) AS ca, list_distinct(string_split(fb, '')) AS cb FROM p)
 SELECT pos, CASE WHEN fa = '' OR fb = '' THEN false
   ELSE CAST(len(list_intersect(ca, cb)) AS DOUBLE) / greatest(len(ca), len(cb)) > 0.7 END AS transliteration_match
@@ -130,7 +130,7 @@ def _reverse_pairs(spark, sf):
     c = inputs.centres(spark, sf)
     nxt = c.select((F.col("pos") - 1).alias("pos"), F.col("city").alias("rev_city"),
                    F.col("state").alias("rev_state"), F.col("country").alias("rev_country"))
-    return c.join(nxt, "pos")
+    return c.join(nxt, "pos", "left").fillna("", ["rev_city", "rev_state", "rev_country"])
 
 
 @register("reverse_match")

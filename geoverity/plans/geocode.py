@@ -19,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import spread_id
 from ..operators import candidates as C
 from ..operators import decide as D
 from ..operators import evidence as E
@@ -72,7 +73,7 @@ def verify_candidates(centres: DataFrame, cands: DataFrame, force: bool = False,
             F.col("id").alias("p_id"), F.lit(True).alias("has_prev"),
             F.col("latitude").alias("prev_latitude"), F.col("longitude").alias("prev_longitude"),
             F.col("name").alias("prev_name"), F.col("address").alias("prev_address"))
-        joined = joined.join(prev, F.col("ref_id") == F.col("p_id"), "left").drop("p_id")
+        joined = joined.join(prev, spread_id("ref_id", "pos") == F.col("p_id"), "left").drop("p_id")
         has_prev = "has_prev"
     ev = E.collect_evidence(joined, has_prev)
     scored = FU.calibrate_confidence(FU.fuse_evidence(ev, category_weights))
@@ -122,6 +123,12 @@ def geocode_centres(centres: DataFrame, cands: DataFrame, force: bool = False,
         F.col("_n").cast("int").alias("n_candidates"))
 
 
+def state_breakdown(outcome: DataFrame) -> DataFrame:
+    """F16: geocoded centres by verification state."""
+    return (outcome.where("geocoded").groupBy(F.col("verification_state").alias("state"))
+                   .agg(F.count(F.lit(1)).alias("centres")))
+
+
 def geocode_stats(outcome: DataFrame) -> DataFrame:
     """F16: total / geocoded / cached / failed (needs_review stays 0)."""
     return outcome.agg(

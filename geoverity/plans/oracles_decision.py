@@ -140,6 +140,8 @@ SELECT {_KEY}, candidate_id FROM (SELECT *, row_number() OVER (PARTITION BY pos
   ORDER BY positive_count - negative_count DESC, cand_pos) AS rv FROM decided) x WHERE rv = 1""", *_VIEWS)
 ORACLE["decide_best"] = with_views(
     f"WITH {chain().strip()}\nSELECT {_KEY}, state, {_R('calibrated_confidence')} FROM best", *_VIEWS)
+ORACLE["state_breakdown"] = with_views(
+    f"WITH {chain().strip()}\nSELECT state, count(*) AS centres FROM best GROUP BY state", *_VIEWS)
 ORACLE["geocode_centres"] = with_views(f"WITH {chain().strip()}{_OUTCOME.replace('__PENDING__', 'true')}", *_VIEWS)
 ORACLE["geocode_pending"] = with_views(f"WITH {chain(_MISSING).strip()}{_OUTCOME.replace('__PENDING__', _MISSING)}", *_VIEWS)
 ORACLE["geocode_stats"] = with_views(f"""WITH {chain(_MISSING).strip()},
