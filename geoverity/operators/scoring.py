@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import similarity as sim
-from ..functions.text import normalize_country, py_strip
+from ..functions.text import normalize_country, py_fixed, py_strip
 
 
 def _s(x) -> Column:
@@ -56,7 +56,7 @@ def score_candidates(df: DataFrame, weights: dict | None = None) -> DataFrame:
         term = (F.col(f"b_{k}") if k in parts else F.lit(0.0)) * F.lit(weight)
         total = term if total is None else total + term
     bd = F.create_map(*[x for k in parts for x in (F.lit(k), F.col(f"b_{k}"))])
-    return (out.withColumn("score", F.round(total, 4)).withColumn("breakdown", bd)
+    return (out.withColumn("score", py_fixed(total, 4).cast("double")).withColumn("breakdown", bd)
                .drop(*[f"b_{k}" for k in parts]))
 
 
