@@ -27,13 +27,15 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import sliced, table
+
 # classes of code points
 (LETTER, STMD, R_V, E, L, NUMBER, SPACE, WHITE, APOS, OTHER, EDGE) = range(11)
 # states: what the token that holds the last code point is
 (NONE, IN_L, IN_N, IN_O, AFTER_SPACE, AFTER_WHITE, QUOTE, QUOTE_RV, QUOTE_L, SHORT) = range(10)
 N_STATES = 10
 BLOCK = 128
-CACHE_SLICES = 400_000
+CACHE_SLICES = 200_000
 
 
 def _step_table() -> np.ndarray:
@@ -337,26 +339,18 @@ def encode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = ranks_of(vocabulary)
         sha = hashlib.sha256
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
+        for batch in sliced(batches, 1):
             n, a, b, c = [], [], [], []
-            at = 0
-            while at < len(texts):  # about 2 M characters at a time
-                end, size = at, 0
-                while end < len(texts) and (end == at or size + len(texts[end] or "") <= 2_000_000):
-                    size += len(texts[end] or "")
-                    end += 1
-                for ids, ends in encode_many([t or "" for t in texts[at:end]], ranks):
-                    raw = decode(ids, ranks)
-                    n.append(len(ids))
-                    if digests:
-                        a.append(sha(ids.tobytes()).hexdigest())
-                        c.append(sha(raw).hexdigest())
-                    else:
-                        a.append(ids.tobytes())
-                        b.append(ends.astype("<u4").tobytes())
-                        c.append(raw)
-                at = end
+            for ids, ends in encode_many([t or "" for t in batch.column(1).to_pylist()], ranks):
+                raw = decode(ids, ranks)
+                n.append(len(ids))
+                if digests:
+                    a.append(sha(ids.tobytes()).hexdigest())
+                    c.append(sha(raw).hexdigest())
+                else:
+                    a.append(ids.tobytes())
+                    b.append(ends.astype("<u4").tobytes())
+                    c.append(raw)
             columns = [batch.column(0), pa.array(n, pa.int64())]
             if digests:
                 columns += [pa.array(a, pa.string()), pa.array(c, pa.string())]
@@ -377,6 +371,4 @@ def default_vocabulary() -> str:
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode and decode every whole text of ``documents``; digests as the contract names them."""
-    from .common import table
-
     return encode(table(spark, sf_dir, "documents"), default_vocabulary(), digests=True)

@@ -11,9 +11,11 @@ null key sorts after every other key.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,6 +45,21 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def sliced(batches: Iterable[pa.RecordBatch], column: int, size: int = 1_000_000) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about ``size`` bytes of a text or binary column (a longer value is a slice by
+    itself), so that a task's memory does not hang on how many rows the session puts into a batch."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        length = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        before = np.cumsum(length) - length
+        at = 0
+        while at < batch.num_rows:
+            end = max(at + 1, int(np.searchsorted(before, before[at] + size)))
+            yield batch.slice(at, end - at)
+            at = end
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage: a reliable checkpoint in the folder all executors share."""
     ensure_checkpoint_dir(df.sparkSession)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import landed, table
+from .common import landed, sliced, table
 
 RATE = 0.05
 MIN_CHARS = 20
@@ -195,7 +195,7 @@ def leaks(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str
 
 def scan_block(docs: DataFrame, block: Callable[[], Block], schema: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, 1):
             out = []
             for key, text in zip(batch.column(0), batch.column(1).to_pylist()):
                 if text and (found := block().matches(normal(text))):
@@ -222,7 +222,7 @@ def without_leaks(df: DataFrame, items: DataFrame, text_col: str = "text", item_
 
 def clean_rows(df: DataFrame, block: Callable[[], Block], at: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, at):
             ok = [not (t and block().matches(normal(t))) for t in batch.column(at).to_pylist()]
             yield batch.filter(pa.array(ok, pa.bool_()))
 

@@ -129,3 +129,29 @@ def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_co
 def op10_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality verdict on every whole text of ``documents``."""
     return judge(table(spark, sf_dir, "documents"))
+
+
+ORACLE = f"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, list_filter(regexp_split_to_array(t, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws,
+  list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls FROM d),
+win AS (SELECT doc_id, p, md5(array_to_string(ws[p:p + 7], ' ')) AS h
+        FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 6)) AS p FROM w) x),
+twice AS (SELECT doc_id, h FROM win GROUP BY doc_id, h HAVING count(*) > 1),
+rep AS (SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest(range(p, p + 8)) AS i
+        FROM win JOIN twice USING (doc_id, h)) x GROUP BY doc_id),
+line AS (SELECT doc_id, source, t, x AS raw, trim(regexp_replace(translate(translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+  'abcdefghijklmnopqrstuvwxyz'), '123456789', '000000000'), '[\\x20\\x09-\\x0D]+', ' ', 'g'), ' ') AS norm
+  FROM (SELECT doc_id, source, t, unnest(ls) AS x FROM w) y),
+texts AS (SELECT source, count(DISTINCT t) AS n FROM d GROUP BY source),
+common AS (SELECT l.source, l.norm FROM line l JOIN texts s ON s.source IS NOT DISTINCT FROM l.source
+  GROUP BY l.source, l.norm, s.n HAVING count(DISTINCT l.t) > {MAX_DOCS} AND count(DISTINCT l.t) > {MAX_SHARE} * s.n),
+lost AS (SELECT l.doc_id, sum(len(list_filter(regexp_split_to_array(raw, '[\\x20\\x09-\\x0D]+'), lambda x: x <> ''))) AS n
+  FROM line l JOIN common c ON c.norm = l.norm AND c.source IS NOT DISTINCT FROM l.source GROUP BY l.doc_id),
+base AS (SELECT w.doc_id, len(ws) AS n_words, CAST(list_sum(list_transform(ws, lambda x: length(x))) AS BIGINT) AS word_chars,
+  length(t) - length(translate(t, '{SYMBOLS}', '')) AS n_symbols, len(ls) - len(list_distinct(ls)) AS n_dup_lines,
+  coalesce(rep.n, 0) AS n_repeat_words, CAST(coalesce(lost.n, 0) AS BIGINT) AS n_removed_words
+  FROM w LEFT JOIN rep USING (doc_id) LEFT JOIN lost USING (doc_id)),
+judged AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM base)
+SELECT doc_id, n_words, coalesce(word_chars, 0) AS word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND n_removed_words <= {MAX_REMOVED} * n_words AS kept, n_removed_words FROM judged"""

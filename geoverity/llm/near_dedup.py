@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import BASES, MAX_BLOOM_BYTES, NULL_KEY, Rolling, bloom_of, landed, mix64, table
+from .common import BASES, MAX_BLOOM_BYTES, NULL_KEY, Rolling, bloom_of, landed, mix64, sliced, table
 from .runs import BYTE_UNITS, keyed
 from .substring_dedup import word_bounds
 
@@ -120,7 +120,7 @@ def set_rows(docs: DataFrame, k: int) -> DataFrame:
             ["id", "th", "n", "f", "c", "sig", "keys"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, 2):
             ids, ths, sets, size = [], [], [], 0
             for i, th, text in zip(*(batch.column(x).to_pylist() for x in range(3))):
                 ids.append(i), ths.append(th), sets.append(shingles(text, k))
@@ -214,7 +214,7 @@ class Finder:
         k, share = self.k, self.threshold
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in sliced(batches, 3):
                 ok, last, mine = [], None, None
                 for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                     if x != last:
@@ -266,7 +266,7 @@ class Finder:
         names = ["hub", "c", "comp", "added", "x", "margin", "asks", "offers"]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in sliced(batches, 4):
                 out, last, mine = [], None, None
                 for hub, c, comp, loose, text, hub_text in zip(*(batch.column(i).to_pylist() for i in range(6))):
                     if hub_text != last:

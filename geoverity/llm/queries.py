@@ -22,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
-    "op3_toxicity": toxicity.op3_toxicity,
     "op4_url_filter": url_filter.ORACLE,
+    "op6_substring_dedup": substring_dedup.ORACLE,
+    "op10_line_quality": line_quality.ORACLE,
 }

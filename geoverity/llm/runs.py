@@ -19,7 +19,7 @@ from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASES, MAX_BLOOM_BYTES, NULL_KEY, Rolling, bloom_of, landed, mix64
+from .common import BASES, MAX_BLOOM_BYTES, NULL_KEY, Rolling, bloom_of, landed, mix64, sliced
 
 _LOW = np.uint64(0xFFFF)
 _SEGMENT = 1 << 15
@@ -44,20 +44,26 @@ def anchors(grams: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def runs_of(units: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, ...] | None:
-    """(anchor hash, run hash, rolling hashes, first window start, number of windows) of every run.
+def runs_of(units: np.ndarray, size: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, ...]:
+    """(anchor hash, run hash, sequence, first window start, number of windows) of every run.
 
-    ``units``: a uint64 per position, well mixed. None if there is no whole window.
+    ``units``: a well mixed uint64 per position, of sequences of ``size`` positions end to end; no window
+    spans two sequences.
     """
     if len(units) < window:
-        return None
+        return tuple(np.zeros(0, np.int64) for _ in range(5))
     first, second = Rolling(units, BASES[0]), Rolling(units, BASES[1])  # independent hashes
     grams = first.fixed(gram)
     at = anchors(grams, window - gram + 1)
-    start = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-    end = np.r_[start[1:], len(at)]  # after the last window start
-    until = end - 1 + window
-    return grams[at[start]].view(np.int64), second.spans(start, until).view(np.int64), second, start, end - start
+    owner = np.repeat(np.arange(len(size)), size)[:len(at)]
+    offset = np.cumsum(size) - size
+    valid = np.arange(len(at)) - offset[owner] <= size[owner] - window
+    turn = (at[1:] != at[:-1]) | (owner[1:] != owner[:-1])
+    start = np.flatnonzero(valid & np.r_[True, turn | ~valid[:-1]])
+    last = np.flatnonzero(valid & np.r_[turn | ~valid[1:], True])
+    mine = owner[start]
+    return (grams[at[start]].view(np.int64), second.spans(start, last + window).view(np.int64), mine,
+            start - offset[mine], last - start + 1)
 
 
 BYTE_UNITS = mix64(np.arange(256, dtype=np.uint64))
@@ -76,44 +82,42 @@ def keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
                      F.hash(text).alias("th"), text.alias("text"))
 
 
-def run_rows(docs: DataFrame, units: Callable[[str], np.ndarray], window: int, gram: int,
-             bloom: Broadcast | None = None) -> DataFrame:
-    """The runs of every text; with a Bloom filter only those whose anchor may be in it."""
-    schema = pa.schema([("g", pa.int64()), ("s", pa.int64()), ("id", pa.int64()), ("th", pa.int32()),
-                        ("p0", pa.int32()), ("n", pa.int32())])
+#: Turns some payloads (texts, byte strings) into their units, end to end, and the number of each.
+Units = Callable[[list], tuple[np.ndarray, np.ndarray]]
+
+
+def whole_texts(docs: DataFrame) -> DataFrame:
+    """(id, th, p0, data): the sequences of whole documents."""
+    return docs.select("id", "th", F.lit(0).alias("p0"), F.col("text").alias("data"))
+
+
+def run_rows(rows: DataFrame, units: Units, window: int, gram: int, bloom: Broadcast | None = None) -> DataFrame:
+    """The runs of sequences (id, th, p0, data), ``p0`` the place of the first unit in its document; with a Bloom
+    filter only those whose anchor may be in it."""
+    names = ["g", "s", "id", "th", "p0", "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, size = [], 0
-        for batch in batches:
-            for i, th, text in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                found = runs_of(units(text), window, gram)
-                if found is None:
-                    continue
-                g, s, _, start, n = found
-                if bloom is not None:
-                    keep = bloom.value.has(g)
-                    g, s, start, n = g[keep], s[keep], start[keep], n[keep]
-                if len(g):
-                    parts.append((g, s, np.full(len(g), i, np.int64), np.full(len(g), th, np.int32),
-                                  start.astype(np.int32), n.astype(np.int32)))
-                    size += len(g)
-                if size >= 100_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts)], schema=schema)
-                    parts, size = [], 0
-        if parts:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts)], schema=schema)
-
-    return docs.select("id", "th", "text").mapInArrow(run, RUN_SCHEMA)
-
-
-def shared_runs(docs: DataFrame, units: Callable[[str], np.ndarray], window: int, gram: int,
+        for batch in sliced(batches, 3):
+            ids, ths, p0 = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+            g, s, mine, start, n = runs_of(*units(batch.column(3).to_pylist()), window, gram)
+            if bloom is not None:
+                keep = bloom.value.has(g)
+                g, s, mine, start, n = g[keep], s[keep], mine[keep], start[keep], n[keep]
+            if len(g):
+                columns = (g, s, ids[mine], ths[mine], (p0[mine] + start).astype(np.int32), n.astype(np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
+
+    return rows.select("id", "th", "p0", "data").mapInArrow(run, RUN_SCHEMA)
+
+
+def shared_runs(sequences: DataFrame, units: Units, window: int, gram: int,
                 across_only: bool, max_bloom: int = MAX_BLOOM_BYTES) -> DataFrame:
     """Runs whose anchor stands in two places (``across_only``: of two different keys).
 
     Lossless: a window that repeats has an anchor that repeats. False hits of the
     Bloom filter only add runs that match nothing.
     """
-    rows = run_rows(docs, units, window, gram)
+    rows = run_rows(sequences, units, window, gram)
     if across_only:
         seen = rows.groupBy("g").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b")
     else:
@@ -122,4 +126,4 @@ def shared_runs(docs: DataFrame, units: Callable[[str], np.ndarray], window: int
     bloom = bloom_of(names, max_bloom)
     if bloom is None:
         return landed(rows.join(names, "g", "left_semi"))
-    return landed(run_rows(docs, units, window, gram, docs.sparkSession.sparkContext.broadcast(bloom)))
+    return landed(run_rows(sequences, units, window, gram, sequences.sparkSession.sparkContext.broadcast(bloom)))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BASES, Rolling, ascii_lower, table
+from .common import BASES, Rolling, ascii_lower, sliced, table
 from .runs import BYTE_UNITS
 from .substring_dedup import word_bounds
 
@@ -368,20 +368,13 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", digests:
     tail = ["base_sha256 string", "spans string"] if digests else \
         ["found array<struct<kind:string,start:bigint,end:bigint>>", "redacted string"]
     counts = [f"n_{k} bigint" for k in KINDS]
+    docs_columns = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, len(docs_columns) - 1):
             texts = [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]
             base = [base_spans(t) for t in texts]
-            extra: list[list[tuple[int, int]]] = []
-            at = 0
-            while at < len(texts):  # about a million characters at a time
-                end, size = at, 0
-                while end < len(texts) and (end == at or size < 1_000_000):
-                    size += len(texts[end])
-                    end += 1
-                extra += model_spans(texts[at:end], base[at:end], *sent.value) if sent.value else [[]] * (end - at)
-                at = end
+            extra = model_spans(texts, base, *sent.value) if sent.value else [[]] * len(texts)
             every = [sorted([(s, k, e) for s, k, e, _ in b] + [(s, 3, e) for s, e in x]) for b, x in zip(base, extra)]
             named = lambda rows: ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in rows)
             columns = [*batch.columns[:-1], *(pa.array([sum(k == j for _, k, _ in r) for r in every], pa.int64()) for j in range(4))]

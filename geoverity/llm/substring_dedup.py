@@ -24,8 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BASES, MAX_BLOOM_BYTES, Rolling, landed, table
-from .runs import BYTE_UNITS, keyed, shared_runs
+from .common import BASES, MAX_BLOOM_BYTES, Rolling, landed, sliced, table
+from .runs import BYTE_UNITS, keyed, shared_runs, whole_texts
 
 WINDOW = 50
 GRAM = 20  # words of an anchor
@@ -42,11 +42,14 @@ def word_bounds(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(turn == 1), np.flatnonzero(turn == -1)
 
 
-def word_units(text: str) -> np.ndarray:
-    """A 64-bit hash of each word."""
-    raw = np.frombuffer(text.encode(), np.uint8)
+def word_units(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of each word of the texts, and the number of words of each."""
+    raws = [t.encode() for t in texts]
+    raw = np.frombuffer(b"\n".join(raws), np.uint8)
     start, end = word_bounds(raw)
-    return Rolling(BYTE_UNITS[raw], BASES[0]).spans(start, end)
+    until = np.cumsum([len(r) + 1 for r in raws])
+    counts = np.diff(np.r_[0, np.searchsorted(start, until)])
+    return Rolling(BYTE_UNITS[raw], BASES[0]).spans(start, end), counts
 
 
 def window_rows(docs: DataFrame, places: DataFrame, units, window: int) -> DataFrame:
@@ -54,11 +57,11 @@ def window_rows(docs: DataFrame, places: DataFrame, units, window: int) -> DataF
     by_doc = places.groupBy("id", "th").agg(F.collect_list(F.struct("p0", "n")).alias("runs"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, 2):
             parts = []
             ids, ths, texts, runs = (batch.column(k).to_pylist() for k in range(4))
             for i, th, text, spots in zip(ids, ths, texts, runs):
-                u = units(text)
+                u, _ = units([text])
                 p = np.unique(np.concatenate([np.arange(r["p0"], r["p0"] + r["n"]) for r in spots]))
                 parts.append((Rolling(u, BASES[0]).fixed(window)[p].view(np.int64),
                               Rolling(u, BASES[1]).fixed(window)[p].view(np.int64),
@@ -74,7 +77,7 @@ def window_rows(docs: DataFrame, places: DataFrame, units, window: int) -> DataF
 def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM,
                      max_bloom: int = MAX_BLOOM_BYTES) -> DataFrame:
     """(id, th, p0, n): runs of consecutive windows that stand in a document with a smaller key."""
-    shared = shared_runs(docs, word_units, window, gram, True, max_bloom)
+    shared = shared_runs(whole_texts(docs), word_units, window, gram, True, max_bloom)
     classes = shared.groupBy("g", "s").agg(F.min("id").alias("first"))
     mixed = classes.groupBy(F.col("g").alias("m_g")).agg(F.count("*").alias("kinds")).where("kinds > 1")
     classes = classes.join(mixed, F.col("g") == F.col("m_g"), "left") \
@@ -110,7 +113,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     tail = "kept_sha256 string" if digests else "kept string, intervals array<struct<start:bigint,end:bigint>>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, 1):
             n, gone, kept, cuts = [], [], [], []
             for text, spots in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 words = text.encode().split()
@@ -139,3 +142,16 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Remove the 50-word windows that repeat across ``documents``."""
     return remove_repeats(table(spark, sf_dir, "documents"), digests=True)
+
+
+ORACLE = """
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws
+           FROM documents),
+win AS (SELECT doc_id, p, md5(array_to_string(ws[p:p + 49], ' ')) AS h
+        FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS p FROM w) x),
+least AS (SELECT h, min(doc_id) AS d FROM win GROUP BY h),
+gone AS (SELECT doc_id, list(i) AS g FROM (SELECT DISTINCT doc_id, unnest(range(p, p + 50)) AS i
+         FROM win JOIN least USING (h) WHERE doc_id > d) x GROUP BY doc_id)
+SELECT w.doc_id, len(ws) AS n_words, coalesce(len(g), 0) AS n_removed,
+  sha256(array_to_string(list_filter(ws, lambda x, i: NOT coalesce(list_contains(g, i), false)), ' ')) AS kept_sha256
+FROM w LEFT JOIN gone USING (doc_id)"""

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BASES, Rolling, landed, mix64, table
+from .common import BASES, Rolling, landed, mix64, sliced, table
 
 ORDER = 5
 RUN = 8  # words of a run
@@ -81,7 +81,7 @@ class Lookup:
     """Open-addressing table from 64-bit hashes to rows of values."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
-        self.bits = max(8, int(3 * len(keys)).bit_length())
+        self.bits = max(8, int(2 * len(keys)).bit_length())
         size = 1 << self.bits
         self.keys = np.zeros(size, np.uint64)
         self.at = np.full(size, -1, np.int32)
@@ -259,9 +259,8 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str, label_col: str, max_g
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(0).to_pylist()
-            x = scored(sent.value, texts, batch.column(2).to_numpy() + 1)
+        for batch in sliced(batches, 0):
+            x = sent.value.features([t or "" for t in batch.column(0).to_pylist()], batch.column(2).to_numpy() + 1)
             yield pa.RecordBatch.from_arrays([*(pa.array(x[:, i]) for i in range(FEATURES)), batch.column(1)],
                                              [*(f"x{i}" for i in range(FEATURES)), "y"])
 
@@ -277,46 +276,37 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str, label_col: str, max_g
     return sent, fit(x, y)
 
 
-def scored(model: Model, texts: list[str | None], which: np.ndarray | None = None) -> np.ndarray:
-    """Features of many texts, about a million characters at a time."""
-    out, at = [], 0
-    while at < len(texts):
-        end, size = at, 0
-        while end < len(texts) and (end == at or size < 1_000_000):
-            size += len(texts[end] or "")
-            end += 1
-        out.append(model.features([t or "" for t in texts[at:end]], None if which is None else which[at:end]))
-        at = end
-    return np.concatenate(out) if out else np.zeros((0, FEATURES))
-
-
 def score(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
           threshold: float = THRESHOLD, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per document: key, ``held_out``, ``score``, ``predicted``, ``ratio`` (of the whole text, per
     character). ``keep``: further columns of ``df`` to pass through."""
     docs = df.select(F.col(f"`{id_col}`").alias("_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("_text"),
-                     *[F.col(f"`{c}`").alias(f"k_{i}") for i, c in enumerate(keep)])
+                     *[F.col(f"`{c}`").alias(f"k_{i}") for i, c in enumerate(keep) if c != text_col],
+                     F.col(f"`{text_col}`").isNull().alias("_null"))
     learnt = learn(docs.select("_id", "_text"), labels, id_col, label_col)
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "_text"]
-                       + ["score double", "ratio double"])
+    order = [c for c in docs.columns if c != "_text" and (c != "_null" or text_col in keep)]
+    order += ["_text"]
+    kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
+    schema = ", ".join([f"`{c}` {kinds[c]}" for c in order if c != "_text" or text_col in keep] + ["score double", "ratio double"])
+    width = len(order) if text_col in keep else len(order) - 1  # the text itself goes back only if it is asked for
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(batch.num_columns - 1).to_pylist()
+        for batch in sliced(batches, len(order) - 1):
+            texts = batch.column(len(order) - 1).to_pylist()
             if learnt is None:
                 ratio = p = np.zeros(len(texts))
             else:
-                x = scored(learnt[0].value, texts)
+                x = learnt[0].value.features(texts)
                 mean, scale, w = learnt[1]
                 ratio, p = x[:, 0], 1 / (1 + np.exp(-np.clip((x - mean) / scale @ w[:-1] + w[-1], -30, 30)))
-            names = batch.schema.names[:-1]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(p), pa.array(ratio)], [*names, "score", "ratio"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array(p), pa.array(ratio)],
+                                             [*batch.schema.names[:width], "score", "ratio"])
 
-    order = [c for c in docs.columns if c != "_text"] + ["_text"]
     out = docs.select(*order).mapInArrow(run, schema)
     return out.select(F.col("_id").alias(id_col), held_out(F.col("_id")).alias("held_out"), "score",
                       (F.col("score") >= threshold).cast("int").alias("predicted"), "ratio",
-                      *[F.col(f"k_{i}").alias(c) for i, c in enumerate(keep)])
+                      *[(F.when(~F.col("_null"), F.col("_text")) if c == text_col else F.col(f"k_{i}")).alias(c)
+                        for i, c in enumerate(keep)])
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
