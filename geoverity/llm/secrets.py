@@ -44,6 +44,8 @@ KEY_WORDS = ["password", "passwd", "pwd", "secret", "token", "api_key", "apikey"
 MAX_FIT = 300  # texts with pattern spans, and as many without, that the model is fitted on
 MAX_FIT_CHARS = 200_000  # of each of these texts
 SIDE = 12  # words on either side of a training window
+MAX_SAMPLE = 40_000  # rows that these texts are looked for in
+PER_TEXT = 8
 MAX_WINDOWS = 400  # of either sort
 STEPS, RATE, DECAY = 120, 0.1, 1e-3
 O, B, I = 0, 1, 2  # noqa: E741
@@ -306,51 +308,73 @@ def model_spans(texts: list[str], base: list[list[tuple]], w: np.ndarray, t: np.
     return out
 
 
-def windows(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
-    """Padded training windows (features, labels, mask); labels from the base spans. None without spans."""
-    raw, start, end, word_text, offset = layout(texts)
+def text_windows(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """Windows of one text (features, labels, mask; padded at the end), labelled by its pattern spans: at most
+    ``PER_TEXT`` around a span's first word and two around words outside."""
+    raw, start, end, word_text, _ = layout([text])
     if not len(start):
         return None
     x = features(raw, start, end, word_text)
     y = np.zeros(len(start), np.int64)
-    for k, text in enumerate(texts):
-        back = None if text.isascii() else np.flatnonzero(np.r_[True, (np.frombuffer(text.encode(), np.uint8)[1:] & 0xC0) != 0x80, True])
-        for _, _, u, s in base_spans(text):
-            s, u = (s, u) if back is None else (back[s], back[u])
-            inside = np.flatnonzero((word_text == k) & (end > offset[k] + s) & (start < offset[k] + u))
-            y[inside] = np.where(y[inside] == O, I, y[inside])
-            y[inside[:1]] = B
-    if not y.any():
-        return None
+    back = None if text.isascii() else np.flatnonzero(np.r_[True, (raw[1:] & 0xC0) != 0x80])
+    for _, _, u, s in base_spans(text):
+        s, u = (s, u) if back is None else (back[s], back[u])
+        inside = np.flatnonzero((end > s) & (start < u))
+        y[inside] = np.where(y[inside] == O, I, y[inside])
+        y[inside[:1]] = B
     size = 2 * SIDE + 1
     # long letter-digit words that no pattern finds are left unlabelled: windows with one teach nothing
-    doubtful = (x[:, 3:6].any(axis=1) & (x[:, 16] > 0) & (x[:, 9] == 0) & (y == O)).astype(np.int64)
-    near = np.convolve(doubtful, np.ones(size, np.int64), "same")[:len(y)] > 0
-    spread = lambda at: at[::max(1, -(-len(at) // MAX_WINDOWS))]
-    middles = np.r_[spread(np.flatnonzero((y == B) & ~near)), spread(np.flatnonzero((y == O) & ~near))]
-    if not (y[middles] == B).any():
-        return None
+    doubtful = x[:, 3:6].any(axis=1) & (x[:, 16] > 0) & (x[:, 9] == 0) & (y == O)
+    sums = np.cumsum(np.r_[0, doubtful])
+    at = np.arange(len(y))
+    calm = sums[np.minimum(at + SIDE + 1, len(y))] == sums[np.maximum(at - SIDE, 0)]
+    middles = np.r_[spread(np.flatnonzero((y == B) & calm), PER_TEXT), spread(np.flatnonzero((y == O) & calm), 2)]
     at = middles[:, None] + np.arange(-SIDE, SIDE + 1)
     inside = (at >= 0) & (at < len(y))
-    at = np.clip(at, 0, len(y) - 1)
-    inside &= word_text[at] == word_text[middles][:, None]
     # padding moves to the end, so that a mask is a prefix
     order = np.argsort(~inside, axis=1, kind="stable")
-    at, inside = np.take_along_axis(at, order, 1), np.take_along_axis(inside, order, 1)
+    at, inside = np.take_along_axis(np.clip(at, 0, len(y) - 1), order, 1), np.take_along_axis(inside, order, 1)
     assert at.shape[1] == size
-    return x[at].astype(np.float64) * inside[..., None], y[at] * inside, inside
+    return x[at] * inside[..., None], y[at] * inside, inside
+
+
+def spread(places: np.ndarray, most: int) -> np.ndarray:
+    """At most so many of the places, evenly."""
+    return places[::max(1, -(-len(places) // most))]
+
+
+def windows(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """Training windows of all texts, at most MAX_WINDOWS with a secret and as many without. None without spans."""
+    parts = [w for t in texts if (w := text_windows(t)) is not None and len(w[0])]
+    if not parts:
+        return None
+    x, y, mask = (np.concatenate(v) for v in zip(*parts))
+    secret = (y == B).any(axis=1)
+    if not secret.any():
+        return None
+    keep = np.r_[spread(np.flatnonzero(secret), MAX_WINDOWS), spread(np.flatnonzero(~secret), MAX_WINDOWS)]
+    return x[keep].astype(np.float64), y[keep], mask[keep]
 
 
 def fitted(docs: DataFrame) -> tuple[np.ndarray, np.ndarray] | None:
-    """Weights learnt from at most MAX_FIT texts with a key word or key id, and as many without."""
+    """Weights learnt from at most MAX_FIT texts with a key word or key id, and as many without, of a sample of
+    about MAX_SAMPLE rows. Only hashes are sorted; the texts of the least ones are fetched."""
+    key = F.xxhash64("_id", "_text")
+    share = min(1.0, MAX_SAMPLE / max(1, docs.count()))
+    sample = docs.where("_text IS NOT NULL").select("_id", "_text", key.alias("h"))
+    if share < 1:
+        sample = sample.where(F.pmod("h", F.lit(1_000_000)) < int(share * 1_000_000))
     low = ascii_lower(F.col("_text"))
-    hint = F.lit(False)
+    hint = F.contains("_text", F.lit("AKIA"))
     for h in HINTS:
         hint = hint | F.contains(low, F.lit(h))
-    hint = hint | F.contains("_text", F.lit("AKIA"))
-    rows = docs.where("_text IS NOT NULL").select("_text", F.xxhash64("_text").alias("h"), hint.alias("hint"))
-    texts = [r[0] for part in (rows.where("hint"), rows.where("NOT hint"))
-             for r in part.orderBy("h", "_text").limit(MAX_FIT).select(F.substring("_text", 1, MAX_FIT_CHARS)).collect()]
+    marked = sample.withColumn("hint", hint)
+    texts = []
+    for part in (marked.where("hint"), marked.where("NOT hint")):
+        least = [r.h for r in part.select("h").distinct().orderBy("h").limit(MAX_FIT).collect()]
+        if least:
+            rows = sample.where(F.col("h") <= least[-1]).where(F.col("h").isin(least)).dropDuplicates(["h"])
+            texts += [r[1] for r in rows.select("h", F.substring("_text", 1, MAX_FIT_CHARS)).orderBy("h").collect()]
     made = windows(texts)
     return None if made is None else train(*made)
 

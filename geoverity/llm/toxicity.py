@@ -10,7 +10,7 @@ letters lower-cased. All labelled learning rows are counted, by Spark.
 
 A text's features are length-normalised log-likelihood ratios: of the whole text,
 of its strongest run of ``RUN`` words and of its strongest word. A logistic
-function turns them into a score; it is fitted on at most ``MAX_FIT`` learning
+function turns them into a score; it is fitted on about ``MAX_FIT`` learning
 rows whose features come from models that have not counted them (two folds by
 the hash of the text, so that copies stay together).
 
@@ -34,8 +34,8 @@ from .common import BASES, Rolling, landed, mix64, sliced, table
 
 ORDER = 5
 RUN = 8  # words of a run
-MAX_GRAMS = 1_000_000  # capacity of the model; beyond it the rarest n-grams are left to the backoff
-MAX_FIT = 20_000  # rows that the logistic function is fitted on
+MAX_GRAMS = 250_000  # capacity of the model; beyond it the rarest n-grams are left to the backoff
+MAX_FIT = 20_000  # rows that the logistic function is fitted on, by a hash threshold
 MAX_LABELS = 2_000_000  # labels are broadcast up to so many rows, else joined by shuffle
 THRESHOLD = 0.7
 FEATURES = 3
@@ -140,16 +140,17 @@ def shared_backoff(grams: pd.DataFrame, discount: float) -> pd.Series:
 def ratios(grams: pd.DataFrame, toxic: np.ndarray, ordinary: np.ndarray, shared: np.ndarray,
            discount: float) -> tuple[np.ndarray, pd.Series]:
     """log P_toxic - log P_ordinary of each n-gram, and of an unseen one by its context."""
-    context = grams.gram.str[:-1]
+    code, contexts = pd.factorize(grams.gram.str[:-1])
     p, back = [], []
     for count in (toxic, ordinary):
-        sums = pd.DataFrame({"n": count, "kinds": count > 0}).groupby(context.values).sum()
-        low = (discount * sums["kinds"] / sums["n"]).where(sums["n"] > 0, 1.0)
-        total = sums["n"].reindex(context).to_numpy()
+        total = np.bincount(code, weights=count, minlength=len(contexts))
+        kinds = np.bincount(code, weights=count > 0, minlength=len(contexts))
+        low = np.divide(discount * kinds, total, out=np.ones(len(contexts)), where=total > 0)
+        total = total[code]
         own = np.divide(np.maximum(count - discount, 0), total, out=np.zeros(len(count)), where=total > 0)
-        p.append(own + low.reindex(context).to_numpy() * shared)
+        p.append(own + low[code] * shared)
         back.append(low)
-    return np.log(p[0]) - np.log(p[1]), np.log(back[0]) - np.log(back[1])
+    return np.log(p[0]) - np.log(p[1]), pd.Series(np.log(back[0]) - np.log(back[1]), index=contexts)
 
 
 class Model:
@@ -221,14 +222,14 @@ def held_out(key) -> object:
 
 
 def learning_rows(docs: DataFrame, labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
-    """(_text, toxic, fold): labelled rows outside the held-out part."""
+    """(_text, toxic, fold, _id): labelled rows outside the held-out part."""
     marks = (labels.select(F.col(f"`{id_col}`").alias("m_id"), F.col(f"`{label_col}`").cast("int").alias("toxic"))
              .where("m_id IS NOT NULL AND toxic IS NOT NULL").where(~held_out(F.col("m_id")))
              .groupBy("m_id").agg(F.max("toxic").alias("toxic")))
     if labels.count() <= MAX_LABELS:
         marks = F.broadcast(marks)
     fold = F.pmod(F.xxhash64(F.lower("_text")), F.lit(2)).cast("int")
-    return docs.join(marks, F.col("_id") == F.col("m_id")).select("_text", "toxic", fold.alias("fold"))
+    return docs.join(marks, F.col("_id") == F.col("m_id")).select("_text", "toxic", fold.alias("fold"), "_id")
 
 
 def count_grams(rows: DataFrame) -> DataFrame:
@@ -256,6 +257,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str, label_col: str, max_g
     if not (len(frame) and (frame.t0 + frame.t1).sum() and (frame.o0 + frame.o1).sum()):
         return None
     model = Model(frame)
+    del frame
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,9 +267,9 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str, label_col: str, max_g
                                              [*(f"x{i}" for i in range(FEATURES)), "y"])
 
     # a bounded sample of the learning rows, spread by hash
-    share = min(1.0, 0.9 * MAX_FIT / max(1, rows.count()))
-    part = F.pmod(F.xxhash64("_text", F.lit(1)), F.lit(1_000_000)) < int(share * 1_000_000)
-    sample = rows.where(part | F.lit(share >= 1)).limit(MAX_FIT)
+    share = min(1.0, MAX_FIT / max(1, rows.count()))
+    part = F.pmod(F.xxhash64("_id", "_text"), F.lit(1_000_000)) < int(share * 1_000_000)
+    sample = (rows.where(part) if share < 1 else rows).drop("_id")
     got = sample.mapInArrow(run, ", ".join(f"x{i} double" for i in range(FEATURES)) + ", y int").toPandas()
     got = got.sort_values(list(got.columns))
     x, y = got.drop(columns="y").to_numpy(), (got.y > 0).to_numpy(float)
