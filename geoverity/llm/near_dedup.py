@@ -37,13 +37,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import BASES, MAX_BLOOM_BYTES, NULL_KEY, Rolling, bloom_of, landed, mix64, sliced, table
+from .common import BASES, MAX_BLOOM_BYTES, NULL_KEY, Rolling, bloom_of, freed, landed, mix64, sliced, table
 from .runs import BYTE_UNITS, keyed
 from .substring_dedup import word_bounds
 
 BANDS, ROWS = 32, 4
 BATCH = 16  # signature values compared at a time
 MISS = 1e-6
+MAX_GONE = 1_000_000  # rows (12 bytes each) that dedup() broadcasts; more are joined by shuffle
 
 _A, _B = (mix64(np.arange(i, i + BANDS * ROWS, dtype=np.uint64)) for i in (1, 10_001))
 _A |= np.uint64(1)
@@ -174,6 +175,11 @@ class Finder:
         self.sigs = landed(self.classes.join(self.nodes, "c", "left_semi").select("c", "n", "sig", "id", "th"))
         self.texts = landed(self._texts(docs, max_bloom))
 
+    def free(self) -> None:
+        """Empty the working tables, once a result that reads them has been written."""
+        for part in (self.sets, self.classes, self.members, self.nodes, self.sigs, self.texts):
+            freed(part)
+
     def _texts(self, docs: DataFrame, max_bloom: int) -> DataFrame:
         """(c, text) of the classes in crowded buckets; only their texts are shuffled."""
         ids = landed(self.sigs.select("id").distinct())
@@ -297,8 +303,10 @@ class Finder:
         spot = ["hub", "added", "x"]
         counts = rows.groupBy(*spot).agg(F.count("*").alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high"))
         order = Window.partitionBy("hub", "c").orderBy("n", "added", "x")
+        wide = rows
         rows = landed(rows.join(counts, spot).withColumn("i", F.row_number().over(order) - 1)
                       .where("low < high AND (i <= asks OR i <= offers)").drop("low", "high", "n"))
+        freed(wide)
         asks = rows.where("i <= asks").select(*spot, F.col("c").alias("a"), F.col("comp").alias("a_comp"), "margin")
         offers = rows.where("i <= offers").select(
             *spot, F.col("c").alias("b"), F.col("comp").alias("b_comp"), (F.col("offers") - F.col("i")).alias("slack"))
@@ -343,15 +351,20 @@ def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
 def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, threshold: int = 80) -> DataFrame:
     """The rows of ``df``, all columns: of each component the row with the smallest (key, text hash), of repeated
     rows one; rows without words stay."""
-    mine = keyed(df, id_col, text_col)
-    finder = Finder(mine, k, threshold)
-    stay = finder.sets.select("id", "th", "n", "c").join(_grouped(finder), "c", "left") \
-        .where("n = 0 OR (id = least_id AND th = least_th)")
-    stay = landed(stay.groupBy("id", "th").agg(F.count("*").alias("times")))
+    finder = Finder(keyed(df, id_col, text_col), k, threshold)
+    rows = finder.sets.select("id", "th", "n", "c").join(_grouped(finder), "c", "left") \
+        .select("id", "th", (F.col("n") > 0).alias("full"), ((F.col("id") == F.col("least_id")) & (F.col("th") == F.col("least_th")))
+                .alias("least"))
+    rows = landed(rows.groupBy("id", "th").agg(F.max(F.col("full") & ~F.col("least")).alias("goes"), F.count("*").alias("times")))
+    finder.free()
+    # the rows that go are few: up to a checked number they are broadcast, so that no text is shuffled
+    gone = rows.where("goes").select(F.col("id").alias("__id"), F.col("th").alias("__th"))
+    if gone.count() <= MAX_GONE:
+        gone = F.broadcast(gone)
     out = df.withColumns({"__id": F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NULL_KEY)),
                           "__th": F.hash(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))})
-    out = out.join(stay.select(F.col("id").alias("__id"), F.col("th").alias("__th")), ["__id", "__th"], "left_semi")
-    if not stay.where("times > 1").isEmpty():
+    out = out.join(gone, ["__id", "__th"], "left_anti")
+    if not rows.where("times > 1").isEmpty():
         out = out.dropDuplicates(["__id", "__th"])
     return out.select(*[F.col(f"`{c}`") for c in df.columns])
 
