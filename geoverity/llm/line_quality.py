@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, table, words_col
+from .common import table, words_col
 
 SYMBOLS = "#*$%&|<>"
 WHITE = " \t\n\x0b\f\r"
@@ -28,13 +28,25 @@ MAX_REMOVED = 0.5
 WINDOW = 8
 
 
-def normal_line(line: Column) -> Column:
-    return F.trim(F.regexp_replace(F.translate(ascii_lower(line), "123456789", "000000000"),
-                                   r"[\x20\x09-\x0D]+", " "))
+_FROM = "ABCDEFGHIJKLMNOPQRSTUVWXYZ" + "123456789" + "\t\x0b\f\r"
+_TO = "abcdefghijklmnopqrstuvwxyz" + "000000000" + "    "
+
+
+def _squeezed(line: Column) -> Column:
+    return F.trim(F.when(F.contains(line, F.lit("  ")), F.regexp_replace(line, "  +", " ")).otherwise(line))
 
 
 def line_hash(line: Column) -> Column:
-    return F.xxhash64(normal_line(line))
+    """Hash of a line with A-Z lower-cased, digits as 0 and white space squeezed."""
+    return F.xxhash64(_squeezed(F.translate(line, _FROM, _TO)))
+
+
+def hashed_lines(text: Column) -> Column:
+    """[(line_hash, words)] of the lines with a word; a normalised line has a space between any two words."""
+    lines = F.split(F.translate(F.coalesce(text, F.lit("")), _FROM, _TO), "\n", -1)
+    normal = F.filter(F.transform(lines, _squeezed), lambda x: x != "")
+    return F.transform(normal, lambda x: F.struct(
+        F.xxhash64(x).alias("line"), (F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1).alias("w")))
 
 
 def lines_col(text: Column) -> Column:
@@ -80,9 +92,7 @@ def base_columns(df: DataFrame) -> DataFrame:
 
 def removed_lines(docs: DataFrame, max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
     """(_host, _th, line, words): lines above the limits, in each distinct text that holds them."""
-    held = (docs.select("_host", "_th", F.explode(F.transform(
-                lines_col(F.col("_text")),
-                lambda x: F.struct(line_hash(x).alias("line"), F.size(words_col(x)).alias("w")))).alias("x"))
+    held = (docs.select("_host", "_th", F.explode(hashed_lines(F.col("_text"))).alias("x"))
             .groupBy("_host", "_th", F.col("x.line").alias("line"))
             # repeated rows repeat a text: the words of one copy are what counts
             .agg(F.sum("x.w").alias("w"), F.count("*").alias("times")))
