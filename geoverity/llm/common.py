@@ -116,8 +116,16 @@ def landed(df: DataFrame) -> DataFrame:
     """Cut the lineage with a written table in the shared folder of ``spark.checkpoint.dir``."""
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._landed_at = path
+    return out
+
+
+def freed(df: DataFrame) -> None:
+    """Empty a landed table that no later step reads, so that the shared folder holds what is still needed."""
+    if path := getattr(df, "_landed_at", None):
+        df.sparkSession.createDataFrame([], df.schema).write.mode("overwrite").parquet(path)
 
 
 #: A Bloom filter is broadcast up to this size; beyond it the rows are joined by shuffle.

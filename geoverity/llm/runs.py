@@ -19,7 +19,7 @@ from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASES, MAX_BLOOM_BYTES, NULL_KEY, Rolling, bloom_of, landed, mix64, sliced
+from .common import BASES, MAX_BLOOM_BYTES, NULL_KEY, Rolling, bloom_of, freed, landed, mix64, sliced
 
 _LOW = np.uint64(0xFFFF)
 _SEGMENT = 1 << 15
@@ -44,16 +44,16 @@ def anchors(grams: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def runs_of(units: np.ndarray, size: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, ...]:
-    """(anchor hash, run hash, sequence, first window start, number of windows) of every run.
+def runs_of(units: np.ndarray, size: np.ndarray, window: int, gram: int, named: bool = True) -> tuple[np.ndarray, ...]:
+    """(anchor hash, run hash, sequence, first window start, number of windows) of every run; without ``named``
+    the run hashes are left out (the anchor's stands there again).
 
     ``units``: a well mixed uint64 per position, of sequences of ``size`` positions end to end; no window
     spans two sequences.
     """
     if len(units) < window:
         return tuple(np.zeros(0, np.int64) for _ in range(5))
-    first, second = Rolling(units, BASES[0]), Rolling(units, BASES[1])  # independent hashes
-    grams = first.fixed(gram)
+    grams = Rolling(units, BASES[0]).fixed(gram)
     at = anchors(grams, window - gram + 1)
     owner = np.repeat(np.arange(len(size)), size)[:len(at)]
     offset = np.cumsum(size) - size
@@ -62,8 +62,10 @@ def runs_of(units: np.ndarray, size: np.ndarray, window: int, gram: int) -> tupl
     start = np.flatnonzero(valid & np.r_[True, turn | ~valid[:-1]])
     last = np.flatnonzero(valid & np.r_[turn | ~valid[1:], True])
     mine = owner[start]
-    return (grams[at[start]].view(np.int64), second.spans(start, last + window).view(np.int64), mine,
-            start - offset[mine], last - start + 1)
+    anchor = grams[at[start]].view(np.int64)
+    # the run's hash has another base, so that the two are independent
+    run = Rolling(units, BASES[1]).spans(start, last + window).view(np.int64) if named else anchor
+    return anchor, run, mine, start - offset[mine], last - start + 1
 
 
 BYTE_UNITS = mix64(np.arange(256, dtype=np.uint64))
@@ -110,6 +112,18 @@ def run_rows(rows: DataFrame, units: Units, window: int, gram: int, bloom: Broad
     return rows.select("id", "th", "p0", "data").mapInArrow(run, RUN_SCHEMA)
 
 
+def anchor_rows(rows: DataFrame, units: Units, window: int, gram: int) -> DataFrame:
+    """(g, id): the anchor of every run."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, 1):
+            g, _, mine, _, _ = runs_of(*units(batch.column(1).to_pylist()), window, gram, named=False)
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(ids[mine])], ["g", "id"])
+
+    return rows.select("id", "data").mapInArrow(run, "g bigint, id bigint")
+
+
 def shared_runs(sequences: DataFrame, units: Units, window: int, gram: int,
                 across_only: bool, max_bloom: int = MAX_BLOOM_BYTES) -> DataFrame:
     """Runs whose anchor stands in two places (``across_only``: of two different keys).
@@ -117,7 +131,7 @@ def shared_runs(sequences: DataFrame, units: Units, window: int, gram: int,
     Lossless: a window that repeats has an anchor that repeats. False hits of the
     Bloom filter only add runs that match nothing.
     """
-    rows = run_rows(sequences, units, window, gram)
+    rows = anchor_rows(sequences, units, window, gram)
     if across_only:
         seen = rows.groupBy("g").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b")
     else:
@@ -125,5 +139,6 @@ def shared_runs(sequences: DataFrame, units: Units, window: int, gram: int,
     names = landed(seen.select("g"))
     bloom = bloom_of(names, max_bloom)
     if bloom is None:
-        return landed(rows.join(names, "g", "left_semi"))
+        return landed(run_rows(sequences, units, window, gram).join(names, "g", "left_semi"))
+    freed(names)
     return landed(run_rows(sequences, units, window, gram, sequences.sparkSession.sparkContext.broadcast(bloom)))
