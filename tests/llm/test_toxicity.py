@@ -95,3 +95,40 @@ def test_query(spark):
     held = [(r.toxic, r.predicted) for r in got.where("held_out").collect()]
     hit, wrong = held.count((1, 1)), held.count((0, 1))
     assert hit >= 0.5 * sum(t for t, _ in held) and wrong <= 0.01 * len(held)
+
+
+def plain_model(texts, marks):
+    """(ratios of all n-grams, of contexts) by the one-process version."""
+    grams = {}
+    for (_, t), (_, y) in zip(texts, marks):
+        for w in t.lower().split():
+            for j in range(2, len(w) + 3):
+                grams.setdefault(f" {w} "[max(j - X.ORDER, 0):j], [0, 0])[1 - y] += 1
+    f = pd.DataFrame([(g, *c) for g, c in grams.items()], columns=["gram", "t", "o"])
+    f["total"] = f.t + f.o
+    once, twice = (f.total == 1).sum(), (f.total == 2).sum()
+    d = once / (once + 2 * twice)
+    top, low = X.ratios(f, f.t.to_numpy(float), f.o.to_numpy(float), X.shared_backoff(f, d).reindex(f.gram.str[1:]).to_numpy(), d)
+    return dict(zip(f.gram, top)), low.to_dict()
+
+
+def test_no_ngram_is_left_out(spark, docs):
+    """Over 250,000 distinct n-grams, most of them seen once: each still has its own ratio; broadcast or joined."""
+    rng = np.random.default_rng(6)
+    learnt = [i for i in range(400) if zlib.crc32(str(i).encode()) % 3 != 1]
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+    texts = [(i, " ".join("".join(letters[rng.integers(0, 26, 9)]) for _ in range(220))) for i in learnt]
+    marks = [(i, int(k % 4 == 0)) for k, i in enumerate(learnt)]
+    top, low = plain_model(texts, marks)
+    assert len(top) > 250_000
+    asked = [(10_000 + k, t.split()[k]) for k, (_, t) in enumerate(texts[:120])] + [(20_000, "zq%x é"), (20_001, "")]
+    labels = spark.createDataFrame(marks, "doc_id long, toxic int")
+    whole = docs(texts + asked + asked[:2])
+    got = X.score(whole, labels).collect()
+    by = {r.doc_id: r.ratio for r in got}
+    for i, t in asked:
+        spots = [f" {w} "[max(j - X.ORDER, 0):j] for w in t.split() for j in range(2, len(w) + 3)]
+        want = sum(top.get(g, low.get(g[:-1], 0.0)) for g in spots) / max(1, len(spots))
+        assert abs(by[i] - want) < 1e-5, (i, by[i], want)
+    joined = X.score(whole, labels, max_grams=0).collect()
+    assert sorted(map(str, joined)) == sorted(map(str, got))
