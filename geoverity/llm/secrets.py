@@ -5,7 +5,9 @@ shape (length, character kinds, mixture, quotes, known key words), the shapes of
 both neighbours and features of the file (share of words with ``=`` or ``:``, key
 words anywhere). Weights are trained here by gradient ascent on the likelihood,
 on windows around spans that fixed patterns find and windows without any, from at
-most ``MAX_FIT`` texts of either sort. Decoding is Viterbi. A bound shows which
+most ``MAX_FIT`` texts of either sort: all rows are searched for spans, the texts are
+the least hashes of either sort, and their windows, anywhere in the text, are cut in
+Spark tasks. Decoding is Viterbi. A bound shows which
 words can't be anything but outside on a best path; Viterbi runs over the rest,
 and so finds the same path as over the whole text.
 
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BASES, Rolling, ascii_lower, sliced, table
+from .common import BASES, Rolling, freed, landed, sliced, table
 from .runs import BYTE_UNITS
 from .substring_dedup import word_bounds
 
@@ -42,9 +44,7 @@ HINTS = ("password", "passwd", "secret", "token", "api_key", "apikey")
 KEY_WORDS = ["password", "passwd", "pwd", "secret", "token", "api_key", "apikey", "key", "auth", "bearer", "credential", "credentials"]
 
 MAX_FIT = 300  # texts with pattern spans, and as many without, that the model is fitted on
-MAX_FIT_CHARS = 200_000  # of each of these texts
 SIDE = 12  # words on either side of a training window
-MAX_SAMPLE = 40_000  # rows that these texts are looked for in
 PER_TEXT = 8
 MAX_WINDOWS = 400  # of either sort
 STEPS, RATE, DECAY = 120, 0.1, 1e-3
@@ -314,7 +314,7 @@ def text_windows(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
     raw, start, end, word_text, _ = layout([text])
     if not len(start):
         return None
-    x = features(raw, start, end, word_text)
+    own = shapes(raw, start, end)
     y = np.zeros(len(start), np.int64)
     back = None if text.isascii() else np.flatnonzero(np.r_[True, (raw[1:] & 0xC0) != 0x80])
     for _, _, u, s in base_spans(text):
@@ -324,7 +324,7 @@ def text_windows(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
         y[inside[:1]] = B
     size = 2 * SIDE + 1
     # long letter-digit words that no pattern finds are left unlabelled: windows with one teach nothing
-    doubtful = x[:, 3:6].any(axis=1) & (x[:, 16] > 0) & (x[:, 9] == 0) & (y == O)
+    doubtful = own[:, 3:6].any(axis=1) & (own[:, 16] > 0) & (own[:, 9] == 0) & (y == O)
     sums = np.cumsum(np.r_[0, doubtful])
     at = np.arange(len(y))
     calm = sums[np.minimum(at + SIDE + 1, len(y))] == sums[np.maximum(at - SIDE, 0)]
@@ -335,7 +335,12 @@ def text_windows(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
     order = np.argsort(~inside, axis=1, kind="stable")
     at, inside = np.take_along_axis(np.clip(at, 0, len(y) - 1), order, 1), np.take_along_axis(inside, order, 1)
     assert at.shape[1] == size
-    return x[at] * inside[..., None], y[at] * inside, inside
+    # as ``features``, for the windows' words only
+    before = own[np.maximum(at - 1, 0)] * (at > 0)[..., None]
+    after = own[np.minimum(at + 1, len(y) - 1)] * (at < len(y) - 1)[..., None]
+    file = np.broadcast_to(file_features(own, word_text)[0], (*at.shape, N_FILE))
+    x = np.concatenate([own[at], before, after, file], axis=2)
+    return x * inside[..., None], y[at] * inside, inside
 
 
 def spread(places: np.ndarray, most: int) -> np.ndarray:
@@ -343,9 +348,9 @@ def spread(places: np.ndarray, most: int) -> np.ndarray:
     return places[::max(1, -(-len(places) // most))]
 
 
-def windows(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
-    """Training windows of all texts, at most MAX_WINDOWS with a secret and as many without. None without spans."""
-    parts = [w for t in texts if (w := text_windows(t)) is not None and len(w[0])]
+def windows(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """Training windows of all texts' windows, at most MAX_WINDOWS with a secret and as many without. None without
+    spans."""
     if not parts:
         return None
     x, y, mask = (np.concatenate(v) for v in zip(*parts))
@@ -357,25 +362,34 @@ def windows(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray] | Non
 
 
 def fitted(docs: DataFrame) -> tuple[np.ndarray, np.ndarray] | None:
-    """Weights learnt from at most MAX_FIT texts with a key word or key id, and as many without, of a sample of
-    about MAX_SAMPLE rows. Only hashes are sorted; the texts of the least ones are fetched."""
-    key = F.xxhash64("_id", "_text")
-    share = min(1.0, MAX_SAMPLE / max(1, docs.count()))
-    sample = docs.where("_text IS NOT NULL").select("_id", "_text", key.alias("h"))
-    if share < 1:
-        sample = sample.where(F.pmod("h", F.lit(1_000_000)) < int(share * 1_000_000))
-    low = ascii_lower(F.col("_text"))
-    hint = F.contains("_text", F.lit("AKIA"))
-    for h in HINTS:
-        hint = hint | F.contains(low, F.lit(h))
-    marked = sample.withColumn("hint", hint)
-    texts = []
-    for part in (marked.where("hint"), marked.where("NOT hint")):
-        least = [r.h for r in part.select("h").distinct().orderBy("h").limit(MAX_FIT).collect()]
-        if least:
-            rows = sample.where(F.col("h") <= least[-1]).where(F.col("h").isin(least)).dropDuplicates(["h"])
-            texts += [r[1] for r in rows.select("h", F.substring("_text", 1, MAX_FIT_CHARS)).orderBy("h").collect()]
-    made = windows(texts)
+    """Weights learnt from at most MAX_FIT texts with a pattern span, and as many without, of all rows. Only hashes
+    are sorted; what comes to the driver of the texts with the least ones is their windows."""
+    rows = docs.where("_text IS NOT NULL").select(F.xxhash64("_id", "_text").alias("h"), "_text")
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, 1):
+            spans = [bool(base_spans(t)) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, pa.bool_())], ["h", "spans"])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, 1):
+            for h, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if (w := text_windows(text)) is not None and len(w[0]):
+                    columns = [[h], [w[0].astype(np.float32).tobytes()], [w[1].astype(np.int64).tobytes()], [w[2].tobytes()]]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["h", "x", "y", "mask"])
+
+    seen = landed(rows.mapInArrow(look, "h bigint, spans boolean"))
+    least = [[r.h for r in seen.where(part).select("h").distinct().orderBy("h").limit(MAX_FIT).collect()]
+             for part in ("spans", "NOT spans")]
+    freed(seen)
+    if not least[0]:
+        return None
+    order = {h: k for k, h in enumerate(least[0] + least[1])}
+    made = rows.where(F.col("h").isin(list(order))).dropDuplicates(["h"]).mapInArrow(cut, "h bigint, x binary, y binary, mask binary")
+    size = 2 * SIDE + 1
+    parts = [(np.frombuffer(r.x, np.float32).reshape(-1, size, N_FEATURES), np.frombuffer(r.y, np.int64).reshape(-1, size),
+              np.frombuffer(r.mask, bool).reshape(-1, size)) for r in sorted(made.collect(), key=lambda r: order[r.h])]
+    made = windows(parts)
     return None if made is None else train(*made)
 
 

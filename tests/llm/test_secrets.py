@@ -106,3 +106,18 @@ def test_query(spark):
         assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(k == j for _, k, _ in base) for j in range(3))
         assert r.base_sha256 == hashlib.sha256(named.encode()).hexdigest()
         assert set(named.split(",")) - {""} <= set(r.spans.split(","))
+
+
+def test_rare_secrets_are_learnt_from(spark):
+    """A few rows of 80,000 hold a secret, in the half that no hash share below one half takes, and past 200,000
+    characters; many rows have a key word only."""
+    from pyspark.sql import functions as F
+    rng = random.Random(8)
+    far = [(i, "lorem ipsum " * (20_000 if i % 2 else 3) + f'token = "{rng.getrandbits(160):040x}" dolor') for i in range(100_000, 100_012)]
+    made = spark.createDataFrame(far, "_id long, _text string").where(F.pmod(F.xxhash64("_id", "_text"), F.lit(1_000_000)) >= 500_000)
+    prose = spark.range(80_000).select(F.col("id").alias("_id"), F.concat(F.lit("the token of "), "id").alias("_text"))
+    assert made.count()
+    assert S.fitted(prose.union(made)) is not None
+    one = spark.createDataFrame([(1, "lorem ipsum " * 20_000 + 'token = "abcdef12345" dolor'), (2, "lorem")], "_id long, _text string")
+    assert S.fitted(one) is not None
+    assert S.fitted(prose.limit(10)) is None
