@@ -95,7 +95,7 @@ def survives(a: np.ndarray, b: np.ndarray, least: tuple[int, ...]) -> np.ndarray
 
 def set_rows(docs: DataFrame, k: int) -> DataFrame:
     """(id, th, n, f, c, sig, keys) of every document: set size, class (two hashes), signature, band names."""
-    schema = "id bigint, th int, n bigint, f bigint, c bigint, sig binary, keys array<bigint>"
+    schema = "id bigint, th bigint, n bigint, f bigint, c bigint, sig binary, keys array<bigint>"
 
     def part(ids, ths, sets) -> pa.RecordBatch:
         size = np.array([len(s) for s in sets])
@@ -115,7 +115,7 @@ def set_rows(docs: DataFrame, k: int) -> DataFrame:
         short = (sig >> np.uint64(40)).astype("<u2")  # for comparing; bands use the whole values
         where = np.arange(0, (len(sets) + 1) * BANDS, BANDS, dtype=np.int32)
         return pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64()), pa.array(ths, pa.int32()), pa.array(size, pa.int64()),
+            [pa.array(ids, pa.int64()), pa.array(ths, pa.int64()), pa.array(size, pa.int64()),
              pa.array(f.view(np.int64)), pa.array(c.view(np.int64)), pa.array([r.tobytes() for r in short], pa.binary()),
              pa.ListArray.from_arrays(pa.array(where), pa.array(keys.view(np.int64).ravel()))],
             ["id", "th", "n", "f", "c", "sig", "keys"])
@@ -362,7 +362,7 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
     if gone.count() <= MAX_GONE:
         gone = F.broadcast(gone)
     out = df.withColumns({"__id": F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NULL_KEY)),
-                          "__th": F.hash(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))})
+                          "__th": F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))})
     out = out.join(gone, ["__id", "__th"], "left_anti")
     if not rows.where("times > 1").isEmpty():
         out = out.dropDuplicates(["__id", "__th"])

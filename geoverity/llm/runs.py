@@ -73,15 +73,15 @@ BYTE_UNITS = mix64(np.arange(256, dtype=np.uint64))
 
 # --- in Spark ---------------------------------------------------------------
 
-RUN_SCHEMA = "g bigint, s bigint, id bigint, th int, p0 int, n int"
+RUN_SCHEMA = "g bigint, s bigint, id bigint, th bigint, p0 int, n int"
 
 
 def keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(_id, id, th, text): a null key sorts last; th tells apart rows that share a key."""
+    """(_id, id, th, text): a null key sorts last; th (64 bits) tells apart rows that share a key."""
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     key = F.col(f"`{id_col}`")
     return df.select(key.alias("_id"), F.coalesce(key.cast("long"), F.lit(NULL_KEY)).alias("id"),
-                     F.hash(text).alias("th"), text.alias("text"))
+                     F.xxhash64(text).alias("th"), text.alias("text"))
 
 
 #: Turns some payloads (texts, byte strings) into their units, end to end, and the number of each.

@@ -65,13 +65,13 @@ def window_rows(docs: DataFrame, places: DataFrame, units, window: int) -> DataF
                 p = np.unique(np.concatenate([np.arange(r["p0"], r["p0"] + r["n"]) for r in spots]))
                 parts.append((Rolling(u, BASES[0]).fixed(window)[p].view(np.int64),
                               Rolling(u, BASES[1]).fixed(window)[p].view(np.int64),
-                              np.full(len(p), i, np.int64), np.full(len(p), th, np.int32), p.astype(np.int32)))
+                              np.full(len(p), i, np.int64), np.full(len(p), th, np.int64), p.astype(np.int32)))
             if parts:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts)],
                                                  ["h1", "h2", "id", "th", "p"])
 
     joined = docs.join(by_doc, ["id", "th"]).dropDuplicates(["id", "th"]).select("id", "th", "text", "runs")
-    return joined.mapInArrow(run, "h1 bigint, h2 bigint, id bigint, th int, p int")
+    return joined.mapInArrow(run, "h1 bigint, h2 bigint, id bigint, th bigint, p int")
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM,

@@ -101,3 +101,25 @@ def test_query(spark):
     sf = "/root/testdata/sf0.01"
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     assert sorted(str(tuple(r)) for r in N.op5_near_dedup(spark, sf).collect()) == brute(rows, 4)
+
+
+def test_texts_of_one_key_with_equal_short_hashes(spark, docs):
+    """Texts that share a key and a 32-bit hash are still two: neither goes, and neither loses what repeats in the other."""
+    from pyspark.sql import functions as F
+
+    from geoverity.llm import substring_dedup, suffix_dedup
+    tail = " ".join(f"common{i}" for i in range(60))
+    words = spark.range(600_000).select(F.concat(F.lit("only"), "id").alias("w"))
+    alike = words.withColumn("h", F.hash("w")).groupBy("h").agg(F.sort_array(F.collect_list("w")).alias("w")).where("size(w) > 1")
+    pairs = [r.w[:2] for r in alike.collect()]
+    assert pairs
+    rows = [(None, w) for p in pairs for w in p] + [(5, w) for w in pairs[0]]
+    kept = N.dedup(docs(rows)).collect()
+    assert sorted(r.text for r in kept) == sorted({w for p in pairs for w in p})
+    # texts of many words
+    long = spark.range(600_000).select(F.concat(F.lit("x"), "id", F.lit(" " + tail)).alias("w")).withColumn("h", F.hash("w"))
+    a, b = long.groupBy("h").agg(F.sort_array(F.collect_list("w")).alias("w")).where("size(w) > 1").first().w[:2]
+    whole = [(1, tail), (None, a), (None, b)]
+    got = sorted(r.kept for r in substring_dedup.remove_repeats(docs(whole)).collect())
+    assert got == sorted([tail, a.split()[0], b.split()[0]])
+    assert suffix_dedup.remove_repeats(docs(whole)).count() == 3
