@@ -34,7 +34,7 @@ PATTERN_RULES = [
     (r"^https?://([^/?#]*\.)?spam-farm\.", ["spam", "farm"], "block"),
     (r"^https?://([^/?#]*\.)?casino[^/?#]*\.(com|net|info)([/:?#]|$)", [], "block"),
     (r"^https?://ads?[0-9]*\.", [], "block"),
-    (r"/wp-login\.php", ["wp", "login", "php"], "block"),
+    (r"/wp-login\.php", ["wp", "login"], "block"),
     (r"/cgi-bin/", ["cgi", "bin"], "block"),
     (r"[?&]action=edit(&|#|$)", ["action", "edit"], "block"),
     (r"[?&]replytocom=[0-9]", ["replytocom"], "block"),

@@ -50,3 +50,18 @@ def test_oracle(spark):
     from pyspark.sql import Row
     make = Row(*rel.columns)
     assert got == sorted(str(make(*r)) for r in rel.fetchall())
+
+
+def test_rules_filed_under_each_token(spark):
+    """The verdict doesn't hang on which token of a rule is the rarest: every rule is filed under each in turn."""
+    urls = [*(u for u in URLS if u), "http://foo.net/wp-login.php5", "http://foo.net/wp-login.php", "http://foo.net/tag/a/feed/"]
+    rows = [(i, u) for i, u in enumerate(urls)]
+    df = spark.createDataFrame(rows, "page_id long, url string")
+    want = sorted(str((i, *expected(u))) for i, u in rows)
+    for k in range(max(len(t) for _, t, _ in U.PATTERN_RULES)):
+        rules = [(x, t[min(k, len(t) - 1):][:1], v) for x, t, v in U.PATTERN_RULES]
+        got = U.filter_urls(df, pattern_rules=rules).collect()
+        assert sorted(str((r.page_id, r.host, r.path, r.rule, r.verdict)) for r in got) == want, k
+    whole = U.filter_urls(df.where("url LIKE '%wp-login.php5'").union(spark.createDataFrame(
+        [(100 + i, "http://foo.net/wp/login") for i in range(3)], "page_id long, url string"))).where("page_id < 100").first()
+    assert whole.verdict == "block"
