@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, licenses, line_quality, near_dedup, secrets, substring_dedup, suffix_dedup, toxicity, url_filter
+from . import (
+    bpe, decontaminate, licenses, line_quality, near_dedup, secrets, spelling, substring_dedup, suffix_dedup, toxicity,
+    url_filter,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -19,10 +22,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scan": licenses.op8_license_scan,
     "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
     "op10_line_quality": line_quality.op10_line_quality,
+    "op11_spelling_variants": spelling.op11_spelling_variants,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op4_url_filter": url_filter.ORACLE,
     "op6_substring_dedup": substring_dedup.ORACLE,
     "op10_line_quality": line_quality.ORACLE,
+    "op11_spelling_variants": spelling.ORACLE,
 }
