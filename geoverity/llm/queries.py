@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import (
     bpe, decontaminate, licenses, line_quality, near_dedup, secrets, spelling, substring_dedup, suffix_dedup, toxicity,
-    url_filter,
+    url_filter, whitening,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -23,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
     "op10_line_quality": line_quality.op10_line_quality,
     "op11_spelling_variants": spelling.op11_spelling_variants,
+    "op12_whitening": whitening.op12_whitening,
 }
 
 ORACLE_SQL: dict[str, str] = {
