@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import (
     bpe, decontaminate, licenses, line_quality, near_dedup, secrets, spelling, substring_dedup, suffix_dedup, toxicity,
-    url_filter, whitening,
+    topk, url_filter, whitening,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -24,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_line_quality": line_quality.op10_line_quality,
     "op11_spelling_variants": spelling.op11_spelling_variants,
     "op12_whitening": whitening.op12_whitening,
+    "op13_top_k": topk.op13_top_k,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -31,4 +32,5 @@ ORACLE_SQL: dict[str, str] = {
     "op6_substring_dedup": substring_dedup.ORACLE,
     "op10_line_quality": line_quality.ORACLE,
     "op11_spelling_variants": spelling.ORACLE,
+    "op13_top_k": topk.ORACLE,
 }
