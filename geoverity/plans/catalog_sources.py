@@ -78,22 +78,20 @@ def q_n1(spark, sf):
 
 @register("map_fields")
 def q_n2(spark, sf):
-    m = F.from_json("record", "map<string,variant>")
-    mapped = N.map_fields(m)
-    return _records(spark, sf).select("doc_id", "rec_pos", *[
-        N.as_text(v).alias(k) for k, v in mapped.items()])
+    mapped = N.map_fields(F.col("_values"))
+    return N.with_values(_records(spark, sf)).select("doc_id", "rec_pos", *[v.alias(k) for k, v in mapped.items()])
 
 
 @register("name_fallback")
 def q_n3(spark, sf):
-    m = F.from_json("record", "map<string,variant>")
-    return _records(spark, sf).select("doc_id", "rec_pos", N.name_fallback(m).alias("fallback_name"))
+    return N.with_values(_records(spark, sf)).select(
+        "doc_id", "rec_pos", N.name_fallback(F.col("_values")).alias("fallback_name"))
 
 
 @register("generate_id")
 def q_n4(spark, sf):
-    m = F.from_json("record", "map<string,variant>")
-    return _records(spark, sf).select("doc_id", "rec_pos", N.generate_id(m, F.col("record")).alias("gen_id"))
+    return N.with_values(_records(spark, sf)).select(
+        "doc_id", "rec_pos", N.generate_id(F.col("_values"), F.col("record")).alias("gen_id"))
 
 
 @register("load_dataset_envelope")

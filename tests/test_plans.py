@@ -3,7 +3,6 @@ a nested-loop join, and the flagship limits candidates map-side before its
 shuffle. Planning only -- nothing is executed."""
 
 import __spark_entry__ as entry
-from conftest import SF001
 from geoverity.plans.registry import QUERIES
 
 # these run actions while being built (round loop, first-row planning, streams)
@@ -15,24 +14,24 @@ def _plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_no_cross_or_nested_loop_joins(spark):
+def test_no_cross_or_nested_loop_joins(spark, sf001):
     bad = {}
     for name, fn in entry.queries().items():
         if name in EAGER or name not in QUERIES:
             continue
-        plan = _plan(fn(spark, SF001))
+        plan = _plan(fn(spark, sf001))
         hits = [op for op in ("CartesianProduct", "BroadcastNestedLoopJoin") if op in plan]
         if hits:
             bad[name] = hits
     assert bad == {}
 
 
-def test_flagship_limits_candidates_before_shuffle(spark):
-    plan = _plan(entry.queries()["geocode_centres"](spark, SF001))
+def test_flagship_limits_candidates_before_shuffle(spark, sf001):
+    plan = _plan(entry.queries()["geocode_centres"](spark, sf001))
     assert "WindowGroupLimit" in plan and "Partial" in plan
     # one Arrow stage for all string-similarity UDFs
     assert plan.count("ArrowEvalPython") == 1
 
 
-def test_single_row_results_have_no_join(spark):
-    assert entry.queries()["update_summary"](spark, SF001).count() == 1
+def test_single_row_results_have_no_join(spark, sf001):
+    assert entry.queries()["update_summary"](spark, sf001).count() == 1
