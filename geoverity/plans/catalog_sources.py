@@ -7,11 +7,15 @@ the tables."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..operators import normalize as N
 from ..operators import reshape as X
+from ..session import ensure_checkpoint_dir
+from ..sources import ranges as G
 from ..sources import records as R
 from . import inputs
 from .registry import r6, register
@@ -61,6 +65,52 @@ def q_s1(spark, sf):
     return _records(spark, sf)
 
 
+FILES = 4
+
+
+def _landed_files(lines):
+    """Folder with one file for each ``file_no`` of lines (file_no, k, pos, line), in the order of k and pos."""
+    path = f"{ensure_checkpoint_dir(lines.sparkSession).rstrip('/')}/files-{uuid.uuid4().hex}"
+    lines.repartition("file_no").sortWithinPartitions("file_no", "k", "pos").select("file_no", "line") \
+        .write.partitionBy("file_no").text(path)
+    return path
+
+
+def _framed(rows, first, last):
+    """Lines of files: ``rows`` (file_no, pos, line) between a first and a last line for each file."""
+    spark = rows.sparkSession
+    ends = spark.createDataFrame([(i, k, 0, t) for k, texts in ((0, first), (2, last)) for i, t in enumerate(texts) if t is not None],
+                                 "file_no long, k int, pos long, line string")
+    return rows.select("file_no", F.lit(1).alias("k"), "pos", "line").unionByName(ends)
+
+
+def _by_file(records):
+    return records.select(F.regexp_extract("doc_id", r"file_no=(\d+)", 1).cast("long").alias("file_no"), "rec_pos", "record")
+
+
+@register("scan_json_files")
+def q_s1_files(spark, sf):
+    """S1 on few large files, each read by byte ranges: a list of objects, an object with a list, a table, and a list
+    set out over several lines."""
+    file_no = F.col("pos") % FILES
+    plain = F.to_json(F.struct("id", "name", "city"))
+    wide = F.concat(F.lit('{ "id" : "'), F.col("id"), F.lit('",\n  "name": "'), F.col("name"), F.lit('", "city": "'), F.col("city"), F.lit('" }'))
+    line = F.when(file_no == 2, F.to_json(F.array("id", "name", "city"))).when(file_no == 3, wide).otherwise(plain)
+    rows = inputs.centres(spark, sf).select(file_no.alias("file_no"), "pos", F.concat(F.lit(","), line).alias("line"))
+    first = ['["list"', '{"meta": {"tags": ["a", "b"]}, "data": [{"name": "first"}', '[[["id", "name", "city"]', '[ "list"']
+    path = _landed_files(_framed(rows, first, ["]", '], "end": 1}', "]]", "]"]))
+    return _by_file(G.json_file_records(spark, path))
+
+
+@register("scan_csv_files")
+def q_s2_files(spark, sf):
+    """S2 on few large files, each read by byte ranges; a field holds a line break and quotes."""
+    note = F.concat(F.lit('"line one\nsays ""hi"", '), F.col("pos").cast("string"), F.lit('"'))
+    rows = inputs.centres(spark, sf).select(
+        (F.col("pos") % FILES).alias("file_no"), "pos", F.concat_ws(",", "name", "city", note).alias("line"))
+    return _by_file(G.csv_file_records(spark, _landed_files(_framed(rows, ["name,city,note"] * FILES, [None] * FILES))))
+
+
 @register("scan_csv_records")
 def q_s2(spark, sf):
     c = inputs.centres(spark, sf)

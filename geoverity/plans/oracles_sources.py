@@ -39,8 +39,18 @@ _PARTS = """CASE pos % 3
 GEN_ID = f"substr(sha256(CASE WHEN ({_PARTS}) <> '' THEN ({_PARTS}) ELSE ({RECORD}) END), 1, 16)"
 CENTRE_ID = f"CASE WHEN pos % 3 <> 1 AND id <> '' THEN id ELSE {GEN_ID} END"
 
+_NOTE = r"""'"note":"line one\nsays \"hi\", ' || CAST(pos AS VARCHAR) || '"'"""
+
 _SOURCE = {
     "scan_json_records": f"SELECT pos AS doc_id, CAST(0 AS BIGINT) AS rec_pos, {RECORD} AS record FROM centres",
+    "scan_json_files": f"""
+WITH numbered AS (SELECT *, pos % 4 AS file_no, row_number() OVER (PARTITION BY pos % 4 ORDER BY pos) AS place FROM centres)
+SELECT file_no, CASE WHEN file_no = 1 THEN place ELSE place - 1 END AS rec_pos,
+ {_object(_pair('id', 'id'), _pair('name', 'name'), _pair('city', 'city'))} AS record FROM numbered
+UNION ALL SELECT CAST(1 AS BIGINT), CAST(0 AS BIGINT), '{{"name":"first"}}'""",
+    "scan_csv_files": f"""
+SELECT pos % 4 AS file_no, row_number() OVER (PARTITION BY pos % 4 ORDER BY pos) - 1 AS rec_pos,
+ {_object(_pair('name', 'name'), _pair('city', 'city'), _NOTE)} AS record FROM centres""",
     "scan_csv_records": f"""SELECT pos AS doc_id, CAST(0 AS BIGINT) AS rec_pos,
  {_object(_pair('name', 'name'), _pair('city', 'city'), _pair('country', 'country'))} AS record FROM centres""",
     "normalize_records": f"""
