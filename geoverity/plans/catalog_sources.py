@@ -17,6 +17,7 @@ from ..operators import reshape as X
 from ..session import ensure_checkpoint_dir
 from ..sources import ranges as G
 from ..sources import records as R
+from ..streaming.ingest import current_dataset, start_ingest
 from . import inputs
 from .registry import r6, register
 
@@ -296,27 +297,24 @@ def q_n16(spark, sf):
 
 
 # S14 -------------------------------------------------------------------------------
+def _ingested(spark, sf, second, full):
+    """The dataset after two availableNow runs over landed documents: the previous dataset, then ``second``."""
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/ingest-{uuid.uuid4().hex}"
+    for seq, rows in ((1, inputs.existing(spark, sf)), (2, second)):
+        doc = F.to_json(F.array(F.struct("id", "name", "address", "city", "state", "country", "postal_code", "latitude", "longitude")))
+        rows.select(F.lit(seq).cast("long").alias("seq"), F.col("pos").alias("doc_id"), doc.alias("text")) \
+            .write.mode("append").json(f"{root}/landing")
+        start_ingest(spark, f"{root}/landing", f"{root}/out", NORMALIZED_AT, full=full).awaitTermination()
+    return r6(current_dataset(spark, f"{root}/out").drop("metadata"))
+
+
 @register("stream_ingest_landed")
 def q_s14(spark, sf):
-    """Two landed snapshots (the previous dataset, then the current centres) are
-    ingested by the streaming job in two availableNow runs; the result is the
-    dataset version after the second update."""
-    import uuid
+    """Two landed snapshots, the second one a whole new list."""
+    return _ingested(spark, sf, inputs.centres(spark, sf), full=True)
 
-    from pyspark.sql import functions as F
 
-    from ..session import ensure_checkpoint_dir
-    from ..streaming.ingest import current_dataset, start_ingest
-    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/ingest-{uuid.uuid4().hex}"
-    landing, out = f"{root}/landing", f"{root}/out"
-
-    def land(df, seq):
-        doc = F.to_json(F.array(F.struct("id", "name", "address", "city", "state", "country",
-                                         "postal_code", "latitude", "longitude")))
-        df.select(F.lit(seq).cast("long").alias("seq"), F.col("pos").alias("doc_id"), doc.alias("text")) \
-          .write.mode("append").json(landing)
-    land(inputs.existing(spark, sf), 1)
-    start_ingest(spark, landing, out, NORMALIZED_AT).awaitTermination()
-    land(inputs.centres(spark, sf), 2)
-    start_ingest(spark, landing, out, NORMALIZED_AT).awaitTermination()
-    return r6(current_dataset(spark, out).drop("metadata"))
+@register("stream_ingest_changes")
+def q_s14_changes(spark, sf):
+    """A landed snapshot, then changes to some of its centres; the others stay."""
+    return _ingested(spark, sf, inputs.centres(spark, sf).where("pos % 10 = 0"), full=False)

@@ -163,3 +163,13 @@ merged AS (SELECT pos, id, CASE WHEN changed THEN name ELSE ex_name END AS name,
   UNION ALL SELECT pos, id, name, {', '.join(_FIELDS)} FROM un)
 SELECT row_number() OVER (ORDER BY pos) - 1 AS pos, id, name, address, city, state, country, postal_code, '' AS phone,
   round(latitude, 6) AS latitude, round(longitude, 6) AS longitude FROM merged""", "centres", "existing")
+ORACLE["stream_ingest_changes"] = with_views(f"""WITH c2 AS (SELECT * EXCLUDE (id), {_HASHED} FROM centres WHERE pos % 10 = 0),
+e2 AS (SELECT * EXCLUDE (id, pos), row_number() OVER (ORDER BY pos) - 1 AS pos, {_HASHED} FROM existing),
+{_merge},
+merged AS (SELECT pos, id, CASE WHEN changed THEN name ELSE ex_name END AS name,
+  {', '.join(f'CASE WHEN changed THEN {f} ELSE fin_{f} END AS {f}' for f in _FIELDS)} FROM mm
+  UNION ALL SELECT pos, id, name, {', '.join(_FIELDS)} FROM un),
+every AS (SELECT row_number() OVER (ORDER BY pos) - 1 + {1 << 40} AS pos, id, name, {', '.join(_FIELDS)} FROM merged
+  UNION ALL SELECT pos, id, name, {', '.join(_FIELDS)} FROM e2 WHERE id NOT IN (SELECT id FROM c2))
+SELECT pos, id, name, address, city, state, country, postal_code, '' AS phone,
+  round(latitude, 6) AS latitude, round(longitude, 6) AS longitude FROM every""", "centres", "existing")
