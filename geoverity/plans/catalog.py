@@ -3,6 +3,7 @@
 from . import catalog_evidence  # noqa: F401
 from . import catalog_pipeline  # noqa: F401
 from . import catalog_relational  # noqa: F401
+from . import catalog_retrieval  # noqa: F401
 from . import catalog_scalars  # noqa: F401
 from . import catalog_text  # noqa: F401
 from . import catalog_sources  # noqa: F401

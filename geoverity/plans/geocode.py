@@ -24,7 +24,9 @@ from ..operators import candidates as C
 from ..operators import decide as D
 from ..operators import evidence as E
 from ..operators import fusion as FU
+from ..operators.retrieval import candidates_of, retrieve
 from ..operators.search_terms import generate_queries
+from ..session import written
 
 REF_FIELDS = ["id", "name", "address", "city", "state", "country", "postal_code"]
 CAND_FIELDS = ["name", "address", "city", "state", "country", "postal_code", "street"]
@@ -123,6 +125,14 @@ def geocode_centres(centres: DataFrame, cands: DataFrame, force: bool = False,
         F.col("_n").cast("int").alias("n_candidates"))
 
 
+def geocode_by_query(centres: DataFrame, cache: DataFrame, responses: DataFrame, as_of, force: bool = False,
+                     **kw) -> tuple[DataFrame, DataFrame]:
+    """F15 in fallback mode, from landed responses: (outcome, cache writes). Each centre's query texts meet the cache
+    and the responses (``operators.retrieval``); the candidates found are verified as in ``geocode_centres``."""
+    answers, writes = retrieve(centres, cache, responses, as_of, force)
+    return geocode_centres(centres, candidates_of(written(answers)), force=force, **kw), writes
+
+
 def state_breakdown(outcome: DataFrame) -> DataFrame:
     """F16: geocoded centres by verification state."""
     return (outcome.where("geocoded").groupBy(F.col("verification_state").alias("state"))
