@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import geo, similarity as sim
+from .cluster import neighbours
 from ..functions.text import (alias_detected, lower_words, normalize_country, py_fixed, py_strip,
                               transliteration_match)
 
@@ -223,27 +224,10 @@ def provider_evidence(df: DataFrame, key: str = "pos", order: str = "cand_pos",
 
 def cluster_centre(df: DataFrame, key: str = "pos", order: str = "cand_pos",
                    threshold_km: float = K.PROVIDER_AGREEMENT_KM) -> DataFrame:
-    """Per centre: the point with the most other points within ``threshold_km``
-    (first wins; no neighbours at all -> first point).
-
-    Neighbour counting is a self equi-join blocked on latitude bands: two points
-    within ``t`` km differ by at most ``t / 111.19`` degrees of latitude (the
-    great-circle distance is at least the latitude arc), so with bands of width
-    ``t / 111`` every qualifying pair lies in the same or an adjacent band. Only
-    those nearby pairs are formed, then tested exactly."""
-    width = threshold_km / 111.0
-    a = df.select(F.col(key).alias("k"), F.col(order).alias("i"), F.col("latitude").alias("la"),
-                  F.col("longitude").alias("lo"), F.floor(F.col("latitude") / width).alias("band"))
-    b = a.select(F.col("k").alias("k2"), F.col("i").alias("j"), F.col("la").alias("lb"),
-                 F.col("lo").alias("lob"),
-                 F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band2"))
-    near = (a.join(b, (F.col("k") == F.col("k2")) & (F.col("band") == F.col("band2")) & (F.col("i") != F.col("j")))
-              .filter(geo.haversine_km("la", "lo", "lb", "lob") <= threshold_km)
-              .groupBy("k", "i").agg(F.count(F.lit(1)).alias("n_near")))
-    counts = (a.join(near, ["k", "i"], "left")
-               .select("k", "i", "la", "lo", F.coalesce(F.col("n_near"), F.lit(0)).alias("n_near")))
-    best = counts.groupBy("k").agg(F.max_by(F.struct("la", "lo", "n_near"),
-                                            F.struct(F.col("n_near"), -F.col("i"))).alias("b"))
+    """Per centre: the point with the most other points within ``threshold_km`` (first wins; no neighbours at all ->
+    first point). Neighbours are counted over cells (``operators.cluster``)."""
+    best = neighbours(df, key, order, threshold_km).groupBy("k").agg(
+        F.max_by(F.struct("la", "lo", "n_near"), F.struct(F.col("n_near"), -F.col("i"))).alias("b"))
     return best.select(F.col("k").alias(key), F.col("b.la").alias("center_lat"), F.col("b.lo").alias("center_lon"),
                        F.col("b.n_near").cast("int").alias("neighbours"))
 
