@@ -112,11 +112,12 @@ class Rolling:
 
 
 
-def landed(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a written table in the shared folder of ``spark.checkpoint.dir``."""
+def landed(df: DataFrame, parts: int | None = None) -> DataFrame:
+    """Cut the lineage with a written table in the shared folder of ``spark.checkpoint.dir``; in at most ``parts``
+    parts, where the caller knows that the rows are few."""
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    (df if parts is None else df.coalesce(parts)).write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._landed_at = path
     return out

@@ -34,7 +34,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import BASES, MAX_BLOOM_BYTES, NULL_KEY, Rolling, bloom_of, freed, landed, mix64, sliced, table
@@ -44,6 +44,9 @@ from .substring_dedup import word_bounds
 BANDS, ROWS = 32, 4
 BATCH = 16  # signature values compared at a time
 MISS = 1e-6
+LOOSE_ROUNDS = 2  # rounds in which members that their hub doesn't hold choose one among themselves
+LOOSE_MIN = 16
+PART_ROWS = 10_000  # classes in a part of a written table, at least
 MAX_GONE = 1_000_000  # rows (12 bytes each) that dedup() broadcasts; more are joined by shuffle
 
 _A, _B = (mix64(np.arange(i, i + BANDS * ROWS, dtype=np.uint64)) for i in (1, 10_001))
@@ -135,26 +138,28 @@ def set_rows(docs: DataFrame, k: int) -> DataFrame:
     return docs.select("id", "th", "text").mapInArrow(run, schema)
 
 
-def connected(labels: DataFrame, edges: DataFrame) -> DataFrame:
+def connected(labels: DataFrame, edges: DataFrame, parts: int | None = None) -> DataFrame:
     """Update (c, comp) by edges (a, b) between classes; smallest label wins."""
     lab = lambda x: labels.select(F.col("c").alias(x), F.col("comp").alias(f"{x}_comp"))
-    links = landed(edges.join(lab("a"), "a").join(lab("b"), "b").where("a_comp != b_comp")
-                   .select(F.least("a_comp", "b_comp").alias("u"), F.greatest("a_comp", "b_comp").alias("v")).distinct())
+    few = lambda df: df if parts is None else df.coalesce(parts)
+    links = landed(few(edges.join(lab("a"), "a")).join(lab("b"), "b").where("a_comp != b_comp")
+                   .select(F.least("a_comp", "b_comp").alias("u"), F.greatest("a_comp", "b_comp").alias("v")).distinct(), parts)
+    if links.isEmpty():
+        return labels
     both = links.select("u", "v").union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    state = landed(both.groupBy("u").agg(F.min("v").alias("v"))
-                   .select("u", F.least("u", "v").alias("to"), F.lit(True).alias("moved")))
+    state = landed(both.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("to")), parts)
     while True:
         # offer each neighbour one's label, then let every label follow its own label
-        offers = both.join(state.select(F.col("u").alias("v"), "to"), "v").select("u", "to")
-        best = state.select("u", "to").union(offers).groupBy("u").agg(F.min("to").alias("to"))
+        offers = both.join(state.select(F.col("u").alias("v"), "to"), "v").select("u", "to", F.lit(None).cast("long").alias("old"))
+        best = few(state.select("u", "to", F.col("to").alias("old")).unionByName(few(offers))
+                   .groupBy("u").agg(F.min("to").alias("to"), F.max("old").alias("old")))
         far = best.select(F.col("u").alias("to"), F.col("to").alias("far"))
-        jumped = best.join(far, "to", "left").select("u", F.least("to", F.coalesce("far", "to")).alias("new"))
-        state = landed(state.select("u", "to").join(jumped, "u")
-                       .select("u", F.col("new").alias("to"), (F.col("new") != F.col("to")).alias("moved")))
-        if state.where("moved").isEmpty():
+        jumped = best.join(far, "to", "left").select("u", F.least("to", F.coalesce("far", "to")).alias("to"), "old")
+        moved = Observation()
+        state = landed(jumped.observe(moved, F.max(F.col("to") != F.col("old")).alias("any")).select("u", "to"), parts)
+        if not moved.get.get("any"):
             break
-    moved = state.select(F.col("u").alias("comp"), "to")
-    return landed(labels.join(moved, "comp", "left").select("c", F.coalesce("to", "comp").alias("comp")))
+    return landed(labels.join(state.withColumnRenamed("u", "comp"), "comp", "left").select("c", F.coalesce("to", "comp").alias("comp")), parts)
 
 
 class Finder:
@@ -169,11 +174,17 @@ class Finder:
             .join(full.select("c", "f", "id", "th", "n", "sig", "keys"), ["c", "f", "id", "th"])
             .dropDuplicates(["c"]))
         rows = self.classes.select("c", F.explode("keys").alias("key"))
-        crowded = rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key")
-        self.members = landed(rows.join(crowded, "key", "left_semi"))
-        self.nodes = landed(self.members.select("c").distinct())
-        self.sigs = landed(self.classes.join(self.nodes, "c", "left_semi").select("c", "n", "sig", "id", "th"))
-        self.texts = landed(self._texts(docs, max_bloom))
+        crowded = rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+        self.members = landed(rows.join(crowded, "key"))
+        self.nodes = landed(self.members.groupBy("c").agg(F.sum("size").alias("crowd")))
+        # tables of classes in crowded buckets are written in parts of this many
+        self.parts = max(docs.sparkSession.sparkContext.defaultParallelism, self.nodes.count() // PART_ROWS)
+        self.sigs = landed(self.classes.join(self.nodes, "c", "left_semi").select("c", "n", "sig", "id", "th"), self.parts)
+        self.texts = landed(self._texts(docs, max_bloom), self.parts)
+
+    def few(self, df: DataFrame) -> DataFrame:
+        """A step of a chain over classes in crowded buckets, in parts of their number."""
+        return df.coalesce(self.parts)
 
     def free(self) -> None:
         """Empty the working tables, once a result that reads them has been written."""
@@ -182,7 +193,7 @@ class Finder:
 
     def _texts(self, docs: DataFrame, max_bloom: int) -> DataFrame:
         """(c, text) of the classes in crowded buckets; only their texts are shuffled."""
-        ids = landed(self.sigs.select("id").distinct())
+        ids = landed(self.sigs.select("id").distinct(), self.parts)
         bloom = bloom_of(ids, max_bloom)
         rows = docs.select("id", "th", "text")
         if bloom is not None:
@@ -208,11 +219,11 @@ class Finder:
                 ok = survives(a, b, least) & (100 * np.minimum(n, m) >= share * np.maximum(n, m))
                 yield batch.select([0, 1]).filter(pa.array(ok))
 
-        return pairs.select("a", "b", "a_n", "b_n", "a_sig", "b_sig").mapInArrow(run, "a bigint, b bigint").distinct()
+        return pairs.select("a", "b", "a_n", "b_n", "a_sig", "b_sig").mapInArrow(run, "a bigint, b bigint").distinct().coalesce(self.parts)
 
     def with_sigs(self, pairs: DataFrame) -> DataFrame:
         for x in ("a", "b"):
-            pairs = pairs.join(self.sigs.select(F.col("c").alias(x), F.col("n").alias(f"{x}_n"), F.col("sig").alias(f"{x}_sig")), x)
+            pairs = self.few(pairs.join(self.sigs.select(F.col("c").alias(x), F.col("n").alias(f"{x}_n"), F.col("sig").alias(f"{x}_sig")), x))
         return pairs
 
     def confirm(self, pairs: DataFrame) -> DataFrame:
@@ -231,12 +242,9 @@ class Finder:
                 yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
         for x in ("a", "b"):
-            pairs = pairs.join(self.texts.select(F.col("c").alias(x), F.col("text").alias(f"{x}_text")), x)
+            pairs = self.few(pairs.join(self.texts.select(F.col("c").alias(x), F.col("text").alias(f"{x}_text")), x))
         return pairs.select("a", "b", "a_text", "b_text").mapInArrow(run, "a bigint, b bigint")
 
-    def _placed(self, labels: DataFrame) -> DataFrame:
-        return self.members.join(labels, "c")
-
     def hubs(self) -> DataFrame:
         """(c, hub): every member of a crowded bucket with that bucket's hub.
 
@@ -244,25 +252,36 @@ class Finder:
         its own buckets, and that again, so that the buckets of one group share a hub near its middle. A bucket has
         one hub, whether or not that is in the bucket, so members of a bucket share a hub.
         """
-        size = self.members.groupBy("key").agg(F.count("*").alias("size"))
-        crowd = self.members.join(size, "key").groupBy("c").agg(F.sum("size").alias("crowd"))
-        placed = landed(self.members.join(crowd, "c"))
+        placed = self.members.select("key", "c").join(self.nodes, "c")
         first = placed.groupBy("key").agg(F.max(F.struct("crowd", "c")).alias("top"))
-        placed = landed(placed.select("key", "c").join(first, "key"))
-        own = placed.groupBy("c").agg(F.max("top").alias("top")).select("c", F.col("top.c").alias("better"))
-        hubs = placed.select("c", F.col("top.c").alias("hub")).distinct()
+        tops = landed(self.members.select("key", "c").join(first, "key").select("c", "top").distinct(), self.parts)
+        own = tops.groupBy("c").agg(F.max("top").alias("top")).select(F.col("c").alias("hub"), F.col("top.c").alias("better"))
+        hubs = tops.select("c", F.col("top.c").alias("hub"))
         for _ in range(2):
-            hubs = hubs.join(own.select(F.col("c").alias("hub"), "better"), "hub").select("c", F.col("better").alias("hub"))
+            hubs = self.few(hubs.join(own, "hub").select("c", F.col("better").alias("hub")))
         return hubs.distinct()
 
-    def open_members(self, stars: DataFrame, labels: DataFrame) -> DataFrame:
-        """(hub, c, comp, hub_comp) of hubs with two or more components besides their own or a member beside one."""
+    def beside(self, stars: DataFrame, labels: DataFrame) -> DataFrame:
+        """(hub, c, comp, hub_comp) of the members beside their hubs."""
         hub = labels.select(F.col("c").alias("hub"), F.col("comp").alias("hub_comp"))
-        placed = stars.join(labels, "c").join(hub, "hub").where("c != hub")
+        return landed(self.few(stars.where("c != hub").join(labels, "c")).join(hub, "hub"), self.parts)
+
+    def loose_stars(self, placed: DataFrame) -> DataFrame:
+        """(c, hub): of the members that share a hub but not its component, each with the most crowded one of them, where
+        they are more than ``LOOSE_MIN`` in two components at least. So a group whose hub lies in another group gets one
+        inside."""
+        loose = placed.where("comp != hub_comp").select("hub", "c", "comp")
+        kinds = self.few(loose.join(self.nodes, "c")).groupBy("hub").agg(
+            F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n"), F.max(F.struct("crowd", "c")).alias("top"))
+        kinds = kinds.where((F.col("low") < F.col("high")) & (F.col("n") > LOOSE_MIN)).select("hub", F.col("top.c").alias("next"))
+        return loose.join(kinds, "hub").where("c != next").select("c", F.col("next").alias("hub")).distinct()
+
+    def open_members(self, placed: DataFrame) -> DataFrame:
+        """The members of hubs with two or more components besides their own or a member beside one."""
         kinds = placed.groupBy("hub").agg(
             F.min("comp").alias("low"), F.max("comp").alias("high"),
             F.max(F.col("comp") != F.col("hub_comp")).alias("loose")).where("loose AND low < high").select("hub")
-        return placed.join(kinds, "hub", "left_semi")
+        return self.few(placed.join(kinds, "hub", "left_semi"))
 
     def differences(self, pairs: DataFrame) -> DataFrame:
         """(hub, c, comp, added, x, margin, asks, offers): the shingles that tell a member from its hub. ``margin``:
@@ -292,20 +311,20 @@ class Finder:
                         [pa.array(v, t, mask=calm if i in (5, 6) else None) for i, (v, t) in enumerate(zip(columns, kinds))], names)
 
         rows = pairs.select("hub", "c", "comp", (F.col("comp") != F.col("hub_comp")).alias("loose"))
-        rows = rows.join(self.texts.select("c", "text"), "c")
+        rows = self.few(rows.join(self.texts.select("c", "text"), "c"))
         rows = rows.join(self.texts.select(F.col("c").alias("hub"), F.col("text").alias("hub_text")), "hub")
         return rows.select("hub", "c", "comp", "loose", "text", "hub_text").mapInArrow(
             run, "hub bigint, c bigint, comp bigint, added boolean, x bigint, margin double, asks double, offers double")
 
-    def rest(self, stars: DataFrame, labels: DataFrame) -> DataFrame:
+    def rest(self, placed: DataFrame) -> DataFrame:
         """(a, b): pairs that may be links between components, by a shared difference from their hub."""
-        rows = landed(self.differences(self.open_members(stars, labels)))
+        rows = landed(self.differences(self.open_members(placed)), self.parts)
         spot = ["hub", "added", "x"]
         counts = rows.groupBy(*spot).agg(F.count("*").alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high"))
         order = Window.partitionBy("hub", "c").orderBy("n", "added", "x")
         wide = rows
-        rows = landed(rows.join(counts, spot).withColumn("i", F.row_number().over(order) - 1)
-                      .where("low < high AND (i <= asks OR i <= offers)").drop("low", "high", "n"))
+        rows = landed(self.few(rows.join(counts, spot)).withColumn("i", F.row_number().over(order) - 1)
+                      .where("low < high AND (i <= asks OR i <= offers)").drop("low", "high", "n"), self.parts)
         freed(wide)
         asks = rows.where("i <= asks").select(*spot, F.col("c").alias("a"), F.col("comp").alias("a_comp"), "margin")
         offers = rows.where("i <= offers").select(
@@ -315,14 +334,19 @@ class Finder:
 
     def labels(self) -> DataFrame:
         """(c, comp) of the classes in crowded buckets."""
-        labels = landed(self.nodes.select("c", F.col("c").alias("comp")))
-        stars = landed(self.hubs())
-        for pairs in (lambda: stars.where("c != hub").select(F.col("hub").alias("a"), F.col("c").alias("b")),
-                      lambda: self.rest(stars, labels)):
-            links = landed(self.confirm(self.prune(self.with_sigs(pairs()))))
-            if not links.isEmpty():
-                labels = connected(labels, links)
-        return labels
+        labels = self.nodes.select("c", F.col("c").alias("comp"))
+        stars = asked = landed(self.hubs(), self.parts)
+        for _ in range(1 + LOOSE_ROUNDS):
+            labels, found = self._linked(labels, asked.where("c != hub").select(F.col("hub").alias("a"), F.col("c").alias("b")))
+            placed = self.beside(stars, labels)
+            if not found or (asked := landed(self.loose_stars(placed), self.parts)).isEmpty():
+                break
+        return self._linked(labels, self.rest(placed))[0]
+
+    def _linked(self, labels: DataFrame, pairs: DataFrame) -> tuple[DataFrame, bool]:
+        """Labels after the links among some pairs, and whether there are any."""
+        links = landed(self.confirm(self.prune(self.with_sigs(pairs))), self.parts)
+        return (labels, False) if links.isEmpty() else (connected(labels, links, self.parts), True)
 
 
 def _grouped(finder: Finder) -> DataFrame:

@@ -83,6 +83,26 @@ def test_links_beside_the_hub_and_no_bloom(spark, docs):
     check(spark, docs, rows, 3, max_bloom=0)
 
 
+def test_groups_around_two_texts(spark, docs, monkeypatch):
+    """A smaller group beside a larger one, each text with an edit of its own: the hub of the larger group is no link of
+    the smaller one, which gets a hub of its own. The pairs that are left to compare don't grow with the group's square."""
+    rng = random.Random(12)
+    far = [f"w{i}" for i in range(200)]
+    near = [w if i < 158 else f"v{i}" for i, w in enumerate(far)]
+    pairs = []
+    plain = N.Finder.rest
+    monkeypatch.setattr(N.Finder, "rest", lambda self, *a: (lambda out: (pairs.append(out.count()), out)[1])(plain(self, *a)))
+    for n in (40, 80):
+        rows = []
+        for base, count in ((far, 3 * n), (near, n)):
+            for _ in range(count):
+                w = list(base)
+                w[rng.randrange(200)] = f"e{len(rows)}"
+                rows.append((len(rows), " ".join(w)))
+        check(spark, docs, rows, 5)
+        assert pairs[-1] <= 2 * n
+
+
 def test_empty(spark, docs):
     assert N.components(docs([])).count() == 0
     check(spark, docs, [(1, None), (2, "")], 4)
