@@ -46,7 +46,7 @@ BATCH = 16  # signature values compared at a time
 MISS = 1e-6
 LOOSE_ROUNDS = 2  # rounds in which members that their hub doesn't hold choose one among themselves
 LOOSE_MIN = 16
-PART_ROWS = 10_000  # classes in a part of a written table, at least
+PART_ROWS = 2_000  # classes in a part of a written table, at least
 MAX_GONE = 1_000_000  # rows (12 bytes each) that dedup() broadcasts; more are joined by shuffle
 
 _A, _B = (mix64(np.arange(i, i + BANDS * ROWS, dtype=np.uint64)) for i in (1, 10_001))
