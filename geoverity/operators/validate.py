@@ -4,23 +4,28 @@ The stateless checks are one ordered CASE. The duplicate checks are
 order-dependent: a row is a duplicate only of rows *accepted* earlier, and
 rejected rows never block later ones. That is the lexicographically-first
 maximal independent set of the conflict graph (same non-empty id, or same
-coordinates), computed here in parallel rounds (Blelloch, Fineman, Shun, SPAA
+coordinates). Rows without any conflict are accepted at once. The others fall into
+connected components, found by label doubling in logarithmically many rounds
+however long a chain of conflicts is; each component of up to ``MAX_COMPONENT``
+rows is decided in order by one task. Larger ones (a key that a large share of
+all rows holds) are decided in parallel rounds (Blelloch, Fineman, Shun, SPAA
 2012): each round accepts every undecided row that is the earliest undecided row
 of both its id group and its coordinate group, then rejects the undecided rows
-sharing a key with a newly accepted row. Rows without any conflict are accepted
-before the loop, so only conflicting rows iterate; each round's state is cut from
-the lineage with ``checkpoint()``. All group minima are partial aggregates, so a
-key holding a large share of the rows is combined map-side.
+sharing a key with a newly accepted row; all group minima are partial aggregates.
+Each round's state is written to the shared checkpoint folder.
 """
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.geo import on_land
 from ..functions.text import normalize_country, py_fixed, py_float_repr, spread_id
+from ..session import written
+from .components import components
 
 
 def _valid_countries() -> Column:
@@ -73,42 +78,68 @@ def _checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def accept_first_free(rows: DataFrame) -> DataFrame:
+#: Rows of a component that one task decides in order.
+MAX_COMPONENT = 200_000
+
+
+def accept_first_free(rows: DataFrame, max_component: int = MAX_COMPONENT) -> DataFrame:
     """Greedy-in-``pos`` acceptance over conflict keys ``id`` (ignored when
     empty) and ``ck`` (coordinates). Returns the accepted rows' ``pos, id, ck``."""
     rows = rows.select("pos", "id", "ck")
-    idc = rows.filter(F.col("id") != "").groupBy("id").agg(F.count(F.lit(1)).alias("nid"))
-    ckc = rows.groupBy("ck").agg(F.count(F.lit(1)).alias("nck"))
-    tagged = (rows.join(idc.withColumnRenamed("id", "k"), spread_id("id", "pos") == F.col("k"), "left").drop("k")
-                  .join(ckc, "ck", "left")
-                  .withColumn("free", F.coalesce(F.col("nid"), F.lit(1)) * F.col("nck") == 1))
-    tagged = _checkpoint(tagged)
-    accepted = tagged.filter("free").select("pos", "id", "ck")
-    und = tagged.filter(~F.col("free")).select("pos", "id", "ck")
-    acc_parts = [accepted]
+    by_id = rows.filter(F.col("id") != "").groupBy("id").agg(F.count(F.lit(1)).alias("nid"), F.min("pos").alias("first_id"))
+    by_ck = rows.groupBy("ck").agg(F.count(F.lit(1)).alias("nck"), F.min("pos").alias("first_ck"))
+    tagged = _checkpoint(
+        rows.join(by_id.withColumnRenamed("id", "k"), spread_id("id", "pos") == F.col("k"), "left").drop("k")
+            .join(by_ck, "ck", "left").withColumn("free", F.coalesce(F.col("nid"), F.lit(1)) * F.col("nck") == 1))
+    free = tagged.filter("free").select("pos", "id", "ck")
+    rest = tagged.filter(~F.col("free"))
+    # a star for each key: its rows and the first of them
+    edges = rest.where("first_id IS NOT NULL").select(F.col("pos").alias("a"), F.col("first_id").alias("b")) \
+        .unionByName(rest.select(F.col("pos").alias("a"), F.col("first_ck").alias("b")))
+    comps = components(edges)
+    sizes = comps.groupBy("comp").agg(F.count(F.lit(1)).alias("n"))
+    placed = written(rest.select("pos", "id", "ck").join(comps.withColumnRenamed("node", "pos"), "pos").join(sizes, "comp"))
+    small = placed.where(F.col("n") <= max_component).select("comp", "pos", "id", "ck")
+    in_order = small.groupBy("comp").applyInPandas(_accept_in_order, small.drop("comp").schema)
+    large = _accept_by_rounds(placed.where(F.col("n") > max_component).select("pos", "id", "ck"))
+    return free.unionByName(in_order).unionByName(large)
+
+
+def _accept_in_order(rows: pd.DataFrame) -> pd.DataFrame:
+    """The sequential rule on the rows of one component."""
+    rows = rows.sort_values("pos")
+    ids, coords, kept = set(), set(), []
+    for cid, ck in zip(rows["id"], rows["ck"]):
+        ck = tuple(ck.values()) if isinstance(ck, dict) else tuple(ck)
+        fits = (not cid or cid not in ids) and ck not in coords
+        if fits:
+            ids.add(cid)
+            coords.add(ck)
+        kept.append(fits)
+    return rows.loc[kept, ["pos", "id", "ck"]]
+
+
+def _accept_by_rounds(und: DataFrame) -> DataFrame:
+    """The sequential rule in parallel rounds."""
+    accepted = und.limit(0)
     while True:
         und = _checkpoint(und)
         if und.isEmpty():
-            break
+            return accepted
         mid = und.filter(F.col("id") != "").groupBy("id").agg(F.min("pos").alias("mid"))
         mck = und.groupBy("ck").agg(F.min("pos").alias("mck"))
         cand = und.join(mid.withColumnRenamed("id", "k"), spread_id("id", "pos") == F.col("k"), "left").drop("k") \
             .join(mck, "ck", "left")
         now = _checkpoint(cand.filter(((F.col("id") == "") | (F.col("pos") == F.col("mid")))
                                       & (F.col("pos") == F.col("mck"))).select("pos", "id", "ck"))
-        acc_parts.append(now)
+        accepted = accepted.unionByName(now)
         ids = now.filter(F.col("id") != "").select(F.col("id").alias("k"))
-        cks = now.select("ck")
         und = (und.join(now.select("pos"), "pos", "left_anti")
-                  .join(ids, spread_id("id", "pos") == F.col("k"), "left_anti").join(cks, "ck", "left_anti"))
-    out = acc_parts[0]
-    for p in acc_parts[1:]:
-        out = out.unionByName(p)
-    return out
+                  .join(ids, spread_id("id", "pos") == F.col("k"), "left_anti").join(now.select("ck"), "ck", "left_anti"))
 
 
 def validate_centres(centres: DataFrame, threshold: float = K.CONFIDENCE_THRESHOLD,
-                     ocean_check: bool = True) -> DataFrame:
+                     ocean_check: bool = True, max_component: int = MAX_COMPONENT) -> DataFrame:
     """V2: per centre ``is_valid``, ``reason``, ``failed_at`` with the reference's
     sequential semantics (checks in order; duplicates only of accepted rows)."""
     base = (centres.select("pos", F.coalesce(F.col("id"), F.lit("")).alias("id"), "latitude", "longitude",
@@ -117,7 +148,7 @@ def validate_centres(centres: DataFrame, threshold: float = K.CONFIDENCE_THRESHO
                    .withColumn("ck", F.struct("latitude", "longitude"))
                    .withColumn("low", low_confidence(threshold)))
     eligible = base.filter(F.col("sl").isNull() & ~F.col("low"))
-    accepted = accept_first_free(eligible).select("pos", F.lit(True).alias("acc"))
+    accepted = accept_first_free(eligible, max_component).select("pos", F.lit(True).alias("acc"))
     acc = base.join(accepted, "pos", "left").withColumn("acc", F.coalesce("acc", F.lit(False)))
     acc = _checkpoint(acc)
     first_id = (acc.filter(F.col("acc") & (F.col("id") != "")).groupBy("id")

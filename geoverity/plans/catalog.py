@@ -10,3 +10,4 @@ from . import catalog_sources  # noqa: F401
 from . import oracles_sources  # noqa: F401  (their SQL)
 from . import oracles_decision  # noqa: F401
 from . import oracles_text  # noqa: F401
+from . import oracles_reports  # noqa: F401

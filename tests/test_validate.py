@@ -64,3 +64,30 @@ def test_random_against_sequential(spark):
                                      "country string, confidence double")
     got = {r.pos: (r.is_valid, r.reason) for r in validate_centres(df).collect()}
     assert got == sequential(rows)
+
+
+def _rows(rows, spark, **more):
+    df = spark.createDataFrame(rows, "pos long, id string, latitude double, longitude double, country string, confidence double")
+    return {r.pos: (r.is_valid, r.reason) for r in validate_centres(df, **more).collect()}
+
+
+def test_components_and_rounds(spark):
+    """Components decided by one task, and by rounds, equal the sequential rule."""
+    rng = random.Random(8)
+    rows = [(i, rng.choice(["", *map(str, range(60))]), rng.choice(LAND)[0] + rng.randrange(40) / 1000, 77.0 if rng.random() < .8 else 77.5,
+             "India", rng.choice([None, None, 0.9, 0.1])) for i in range(500)]
+    want = {p: (ok, r) for p, (ok, r) in sequential(rows).items()}
+    assert _rows(rows, spark) == want
+    assert _rows(rows, spark, max_component=1) == want
+
+
+def test_long_chain_takes_few_rounds(spark, monkeypatch):
+    """Each row conflicts with the one before, by id and by coordinates in turn: rounds stay logarithmic."""
+    from geoverity.operators import components as C
+    n, calls = 5000, []
+    plain = C.written
+    monkeypatch.setattr(C, "written", lambda df: (calls.append(1), plain(df))[1])
+    rows = [(i, f"c{(i + 1) // 2}", 12.0 + (i // 2) * 1e-5, 77.0, "India", None) for i in range(n)]
+    got = _rows(rows, spark)
+    assert got == {p: (ok, r) for p, (ok, r) in sequential(rows).items()}
+    assert len(calls) < 25
