@@ -6,11 +6,12 @@ e.g. from ``spark.read.format("binaryFile")`` or a table of fetched pages.
 
 from __future__ import annotations
 
-import gzip
 import io
 import zipfile
+import zlib
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -55,25 +56,85 @@ def classify_landed_file(content, content_type=None) -> Column:
              .otherwise(F.lit("unknown")))
 
 
-def _decompress_batch(it):
-    for pdf in it:
-        out = []
-        for content, fmt in zip(pdf["payload"], pdf["format"]):
-            data = content
-            if content is not None and fmt == "gzip":
-                data = gzip.decompress(content)
-            elif content is not None and fmt == "zip":
-                with zipfile.ZipFile(io.BytesIO(content)) as zf:
-                    names = zf.namelist()
-                    data = zf.read(names[0]) if names else content
-            out.append(data)
-        yield pdf.assign(payload=pd.Series(out, dtype="object"))
-
-
-def decompress_payloads(files: DataFrame) -> DataFrame:
-    """Gunzip, or the first member of a zip archive; other payloads pass
-    through. One output row per input file, per-partition in Arrow batches."""
-    return files.mapInPandas(_decompress_batch, schema=files.schema)
+#: Bytes of a part of an inflated payload.
+PART_BYTES = 1 << 20
+
+
+def _gunzipped(payload: bytes, size: int) -> Iterator[bytes]:
+    """The content of a gzip file, of all its members, in parts of at most ``size`` bytes."""
+    rest = payload
+    while rest:
+        stream = zlib.decompressobj(31)
+        while not stream.eof:
+            part = stream.decompress(rest, size)
+            rest = stream.unconsumed_tail
+            if part:
+                yield part
+            elif not rest and not stream.eof:
+                raise EOFError("the file ends within a member")
+        rest = stream.unused_data.lstrip(b"\0")  # zeros may pad a file
+
+
+def _members(payload: bytes | None, fmt: str | None, size: int) -> Iterator[tuple[str | None, Iterator[bytes]]]:
+    """(name, parts) of the files in a payload; one without a name if it is no archive."""
+    if payload is not None and fmt == "gzip":
+        yield None, _gunzipped(payload, size)
+    elif payload is not None and fmt == "zip":
+        with zipfile.ZipFile(io.BytesIO(payload)) as archive:
+            infos = [i for i in archive.infolist() if not i.is_dir()]
+            for info in infos:
+                with archive.open(info) as member:
+                    yield info.filename, iter(lambda m=member: m.read(size), b"")
+            if not infos:
+                yield None, iter([payload])  # an empty archive passes through
+    elif payload is not None:
+        yield None, (payload[at:at + size] for at in range(0, len(payload), size))
+
+
+def inflated(files: DataFrame, key: str = "file_id", size: int = PART_BYTES) -> DataFrame:
+    """(key, member, name, part, data, error) -- every member of zip archives (read by their central directory) and
+    gzip files, other payloads as they are, in parts of at most ``size`` bytes. A task inflates as a stream and holds
+    one part, however large the content is. An archive that can't be read gives what came before and a row with the
+    error; an empty member a part without bytes; a null payload nothing."""
+    kind = files.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                row = batch.slice(at, 1)
+                member, part, name = 0, 0, None
+
+                def out(data: bytes | None, error: str | None = None) -> pa.RecordBatch:
+                    return pa.RecordBatch.from_arrays(
+                        [row.column(0), pa.array([member], pa.int32()), pa.array([name], pa.string()), pa.array([part], pa.int64()),
+                         pa.array([data], pa.binary()), pa.array([error], pa.string())],
+                        [key, "member", "name", "part", "data", "error"])
+
+                try:
+                    for member, (name, parts) in enumerate(_members(row.column(1)[0].as_py(), row.column(2)[0].as_py(), size)):
+                        part = 0
+                        for data in parts:
+                            yield out(data)
+                            part += 1
+                        if not part:
+                            yield out(b"")
+                except (OSError, EOFError, zlib.error, zipfile.BadZipFile, NotImplementedError, RuntimeError) as e:
+                    yield out(None, f"{type(e).__name__}: {e}")
+
+    schema = f"`{key}` {kind}, member int, name string, part bigint, data binary, error string"
+    return files.select(key, "payload", "format").mapInArrow(run, schema)
+
+
+def decompress_payloads(files: DataFrame, key: str | None = None) -> DataFrame:
+    """S5, one row for each file: gunzipped, or the first member of a zip archive; other payloads pass through. An
+    archive that can't be read has a null payload. ``inflated`` is the form for contents that no row can hold. ``key``: a
+    unique column (the first)."""
+    key = key or files.columns[0]
+    parts = inflated(files, key).where("member = 0")
+    whole = F.array_sort(F.collect_list(F.struct("part", "data")))
+    joined = F.aggregate(whole["data"], F.unhex(F.lit("")), lambda a, b: F.concat(a, b))
+    content = parts.groupBy(key).agg(F.when(F.max("error").isNull(), joined).alias("_content"))
+    return files.drop("payload").join(content, key, "left").withColumnRenamed("_content", "payload").select(*files.columns)
 
 
 def latest_landed_file(files: DataFrame, order: str = "mtime") -> DataFrame:

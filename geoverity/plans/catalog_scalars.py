@@ -230,6 +230,53 @@ def q_classify(spark, sf):
     return f.select("file_id", LD.classify_landed_file(F.encode("payload", "UTF-8")).alias("format"))
 
 
+def _archives(spark, sf):
+    """Landed pages as they are, gzipped, or in a zip archive with a second member, by their number."""
+    import gzip
+    import io
+    import zipfile
+
+    import pyarrow as pa
+
+    def pack(batches):
+        for batch in batches:
+            out = []
+            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                raw = (text or "").encode()
+                if i % 3 == 1:
+                    raw = gzip.compress(raw, mtime=0)
+                elif i % 3 == 2:
+                    held = io.BytesIO()
+                    with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
+                        z.writestr("page.html", raw)
+                        z.writestr("more/url.txt", str(i))
+                    raw = held.getvalue()
+                out.append(raw)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["file_id", "payload"])
+
+    files = inputs.landed_files(spark, sf).select("file_id", "payload").mapInArrow(pack, "file_id bigint, payload binary")
+    return files.withColumn("format", LD.classify_landed_file("payload"))
+
+
+@register("inflate_payloads", """
+SELECT file_id, CAST(0 AS INTEGER) AS member, CASE WHEN file_id % 3 = 2 THEN 'page.html' END AS name,
+ CAST(strlen(coalesce(payload, '')) AS BIGINT) AS n_bytes, sha256(coalesce(payload, '')) AS sha256 FROM landed_files
+UNION ALL SELECT file_id, 1, 'more/url.txt', CAST(length(CAST(file_id AS VARCHAR)) AS BIGINT), sha256(CAST(file_id AS VARCHAR))
+FROM landed_files WHERE file_id % 3 = 2""", ("landed_files",))
+def q_s5(spark, sf):
+    """All members of packed pages, inflated in parts of 1,000 bytes and put together by their hash."""
+    parts = LD.inflated(_archives(spark, sf), size=1000)
+    whole = F.array_sort(F.collect_list(F.struct("part", F.hex("data").alias("hex"))))
+    return parts.groupBy("file_id", "member", "name").agg(
+        F.sum(F.length("data")).alias("n_bytes"), F.sha2(F.unhex(F.array_join(whole["hex"], "")), 256).alias("sha256"))
+
+
+@register("decompress_payloads", """
+SELECT file_id, sha256(coalesce(payload, '')) AS sha256 FROM landed_files""", ("landed_files",))
+def q_s5_first(spark, sf):
+    return LD.decompress_payloads(_archives(spark, sf)).select("file_id", F.sha2("payload", 256).alias("sha256"))
+
+
 @register("latest_landed_file", """
 SELECT file_id, path, n FROM landed_files ORDER BY file_id DESC LIMIT 1""", ("landed_files",))
 def q_latest(spark, sf):
