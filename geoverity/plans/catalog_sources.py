@@ -17,6 +17,7 @@ from ..operators import reshape as X
 from ..session import ensure_checkpoint_dir
 from ..sources import ranges as G
 from ..sources import records as R
+from ..sources.tables import read_table
 from ..streaming.ingest import current_dataset, start_ingest
 from . import inputs
 from .registry import r6, register
@@ -181,6 +182,37 @@ def q_x1(spark, sf):
     return r6(X.flatten_columns(n.drop("record")))
 
 
+def _mixed_raw(spark, sf):
+    """Centres with raw records of three kinds: which keys there are shows in all rows only."""
+    c = inputs.centres(spark, sf)
+    plain = F.to_json(F.struct(F.col("id").alias("TestCenterCode"), F.col("city").alias("City")))
+    nested = F.to_json(F.struct(F.col("name").alias("TestCenterName"), F.struct(
+        F.col("city").alias("city"), F.col("postal_code").alias("zip")).alias("address")))
+    raw = F.when(F.col("pos") % 3 == 0, plain).when(F.col("pos") % 3 == 1, nested).otherwise(F.lit("[]"))
+    return c.withColumn("raw_record", raw)
+
+
+@register("infer_schema_map")
+def q_x2(spark, sf):
+    """X2 over all records: where each field of the user's sample comes from."""
+    found = X.plan_schema_map(_mixed_raw(spark, sf), SAMPLE_OUTPUT, all_rows=True)
+    return spark.createDataFrame(list(found.items()), "path string, source string")
+
+
+@register("raw_path_support")
+def q_x2_paths(spark, sf):
+    return X.path_support(_mixed_raw(spark, sf))
+
+
+@register("alias_resolve")
+def q_x5(spark, sf):
+    """X5 on field names of several spellings, one for each document."""
+    names = ["lat", "LNG", "Centre_Name", "zip", "Postcode", "address.zip", "location", "telephone", "town ", ""]
+    d = read_table(spark, sf, "documents").select(
+        "doc_id", F.element_at(F.array(*[F.lit(n) for n in names]), (F.col("doc_id") % len(names) + 1).cast("int")).alias("path"))
+    return X.alias_resolve(d)
+
+
 @register("apply_schema")
 def q_x4(spark, sf):
     df = _centres_with_raw(spark, sf)

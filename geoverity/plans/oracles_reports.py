@@ -89,3 +89,32 @@ report AS (SELECT t.pos, c.id AS reference_id, c.name AS reference_name, best_ca
   FROM told t JOIN top ON top.pos = t.pos JOIN centres c ON c.pos = t.pos)"""
 ORACLE["audit_report"] = with_views(f"""WITH {_REPORTED}
 SELECT pos, reference_id, best_candidate_id, summary, CAST(n_entries AS INTEGER) AS n_entries FROM report""", *_VIEWS)
+
+# --- X2, X5 -------------------------------------------------------------------------------------------------------------
+_MIXED = f"""
+raw AS (SELECT pos, CASE pos % 3 WHEN 0 THEN {_object(_pair('TestCenterCode', 'id'), _pair('City', 'city'))}
+  WHEN 1 THEN {_object(_pair('TestCenterName', 'name'), """'"address":{' || concat_ws(',', '"city":"' || city || '"', '"zip":"' || postal_code || '"') || '}'""")}
+  END AS raw FROM centres),
+cells AS (SELECT pos, p AS path, json_extract_string(raw, '$.' || p) AS value
+  FROM raw, (VALUES ('TestCenterCode'), ('City'), ('TestCenterName'), ('address.city'), ('address.zip')) v(p) WHERE raw IS NOT NULL),
+paths AS (SELECT path, count(*) AS support, arg_min(value, pos) AS sample FROM cells WHERE value IS NOT NULL GROUP BY path)"""
+_TEMPLATE = "https://maps.example.org/view?at={lat},{lng}&zoom=9|||https://maps.example.org/view?at=18.5204,73.8567&zoom=9"
+ORACLE["raw_path_support"] = with_views(f"WITH {_MIXED.strip()} SELECT path, support, sample FROM paths", "centres")
+ORACLE["infer_schema_map"] = with_views(f"""WITH {_MIXED.strip()},
+wanted(path, own, alias, template, literal) AS (VALUES ('id', 'id', NULL, NULL, 'A-17'), ('centre_name', NULL, 'name', NULL, 'Riverside College'),
+ ('address.city', NULL, NULL, NULL, 'Pune'), ('address.zip', NULL, NULL, NULL, '411001'), ('location.lat', NULL, NULL, NULL, NULL),
+ ('location.lng', NULL, NULL, NULL, NULL), ('latitude', 'latitude', NULL, NULL, NULL), ('links.map', NULL, NULL, '{_TEMPLATE}', NULL),
+ ('TestCenterCode', NULL, NULL, NULL, 'A17'), ('type', NULL, NULL, NULL, 'school'))
+SELECT w.path, coalesce(own, CASE WHEN p.path IS NOT NULL THEN 'raw.' || p.path END, alias, 'url_template:' || template,
+  'literal:' || literal) AS source FROM wanted w LEFT JOIN paths p ON p.path = w.path
+WHERE coalesce(own, p.path, alias, template, literal) IS NOT NULL""", "centres")
+ORACLE["alias_resolve"] = """
+WITH d AS (SELECT doc_id, ['lat', 'LNG', 'Centre_Name', 'zip', 'Postcode', 'address.zip', 'location', 'telephone', 'town ', ''][doc_id % 10 + 1] AS path
+  FROM documents)
+SELECT doc_id, path, CASE lower(path) WHEN 'lat' THEN 'latitude' WHEN 'lng' THEN 'longitude' WHEN 'centre_name' THEN 'name'
+ WHEN 'zip' THEN 'postal_code' WHEN 'postcode' THEN 'postal_code' WHEN 'telephone' THEN 'phone' END AS field FROM d"""
+
+# --- N12: accents stripped, lower case, runs of white space as one space ---------------------------------------------------
+ORACLE["unicode_fold"] = r"""
+SELECT doc_id, coalesce(regexp_replace(trim(regexp_replace(lower(strip_accents(text)),
+  '[\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}]+', ' ', 'g')), ' +', ' ', 'g'), '') AS folded FROM documents"""
