@@ -373,7 +373,7 @@ class Model:
         last = len(order) - 1
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in sliced(batches, last):
+            for batch in sliced(batches, last, 250_000):
                 x = text_features(*word_totals(batch.column(last).to_pylist(), batch.column(last - 1).to_numpy(), *sent.value))
                 columns = [batch.column(order.index(c)) for c in keep]
                 yield pa.RecordBatch.from_arrays([*columns, *(pa.array(x[:, i]) for i in range(FEATURES))], [*keep, *names])
