@@ -39,7 +39,7 @@ from .common import BASES, Rolling, freed, landed, mix64, sliced, table
 ORDER = 5
 RUN = 8  # words of a run
 MAX_GRAMS = 2_000_000  # the model is broadcast up to so many n-grams and contexts, else joined by shuffle
-MAX_FIT = 20_000  # rows that the logistic function is fitted on, by a hash threshold
+MAX_FIT = 20_000  # rows that the logistic function is fitted on, about; toxic ones up to half of them
 MAX_LABELS = 2_000_000  # labels are broadcast up to so many rows, else joined by shuffle
 THRESHOLD = 0.7
 FEATURES = 3
@@ -424,16 +424,38 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str, label_col: str, max_g
     model = Model(docs, grams, once / (once + 2 * twice) if once and twice else 0.75, max_grams)
     freed(grams)
 
-    # a bounded sample of the learning rows, spread by hash
-    share = min(1.0, MAX_FIT / max(1, rows.count()))
-    part = F.pmod(F.xxhash64("_id", "_text"), F.lit(1_000_000)) < int(share * 1_000_000)
-    sample = (rows.where(part) if share < 1 else rows).select(F.col("toxic").alias("y"), (F.col("fold") + 1).alias("_which"), "_text")
-    got = model.features(sample).select(*[f"x{i}" for i in range(FEATURES)], "y").toPandas()
+    # a bounded sample of the learning rows, spread by a hash of the text: all of them, or toxic ones up to half of it
+    kind = F.col("toxic") > 0
+    have = {bool(r.kind): r.n for r in rows.groupBy(kind.alias("kind")).agg(F.count("*").alias("n")).collect()}
+    shares = fit_shares(have.get(True, 0), have.get(False, 0), MAX_FIT)
+    spread = F.pmod(F.xxhash64(F.lit(1), "_text"), F.lit(1_000_000))
+    chosen = rows.where(spread < F.when(kind, F.lit(shares[0] * 1e6)).otherwise(F.lit(shares[1] * 1e6))) if min(shares) < 1 else rows
+    got = _fit_rows(model, chosen)
+    for toxic_ in (True, False):  # a class whose texts are all alike may have no hash below its share
+        if not ((got.y > 0) == toxic_).any():
+            got = pd.concat([got, _fit_rows(model, rows.where(kind == F.lit(toxic_)).limit(1))])
     got = got.sort_values(list(got.columns))
     x, y = got.drop(columns="y").to_numpy(), (got.y > 0).to_numpy(float)
     if not 0 < y.sum() < len(y):
         return None
-    return model, fit(x, y)
+    mean, scale, w = fit(x, y)
+    w[-1] -= np.log(shares[0] / shares[1])  # toxic rows are more frequent in the sample than among the learning rows
+    return model, (mean, scale, w)
+
+
+def fit_shares(toxic: int, ordinary: int, most: int) -> tuple[float, float]:
+    """Shares of the toxic and of the other rows that a sample of about ``most`` rows takes: toxic ones fill up to half of
+    it, the others the rest."""
+    if toxic + ordinary <= most:
+        return 1.0, 1.0
+    share = min(1.0, most / 2 / max(1, toxic))
+    return share, min(1.0, (most - toxic * share) / max(1, ordinary))
+
+
+def _fit_rows(model: Model, rows: DataFrame) -> pd.DataFrame:
+    """Features and class of some learning rows."""
+    sample = rows.select(F.col("toxic").alias("y"), (F.col("fold") + 1).alias("_which"), "_text")
+    return model.features(sample).select(*[f"x{i}" for i in range(FEATURES)], "y").toPandas()
 
 
 def score(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",

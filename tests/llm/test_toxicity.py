@@ -1,5 +1,6 @@
 """Toxicity: shared-backoff models by hand, held-out accuracy, edge rows."""
 
+import random
 import zlib
 
 import numpy as np
@@ -132,3 +133,22 @@ def test_no_ngram_is_left_out(spark, docs):
         assert abs(by[i] - want) < 1e-5, (i, by[i], want)
     joined = X.score(whole, labels, max_grams=0).collect()
     assert sorted(map(str, joined)) == sorted(map(str, got))
+
+
+def test_rare_toxic_rows_are_in_the_fit(spark, docs, monkeypatch):
+    """Where toxic rows are fewer than one in a sample, the sample takes them all and the model stays."""
+    from geoverity.llm import toxicity as T
+    monkeypatch.setattr(T, "MAX_FIT", 24)
+    rng = random.Random(3)
+    calm = "the river runs slowly past green fields and old stone houses in warm light".split()
+    harsh = "vile grunk zorvath"
+    rows = [(i, " ".join(rng.choices(calm, k=25)) + (f" {harsh} {harsh}" if i % 100 == 0 else "")) for i in range(900)]
+    labels = spark.createDataFrame([(i, int(i % 100 == 0)) for i in range(900)], "doc_id long, toxic int")
+    got = {r.doc_id: r.score for r in T.score(docs(rows), labels).collect()}
+    assert min(got[i] for i in range(0, 900, 100)) > max(got[i] for i in range(900) if i % 100)
+
+
+def test_shares_of_the_classes():
+    from geoverity.llm.toxicity import fit_shares
+    assert fit_shares(5, 10, 20) == (1.0, 1.0) and fit_shares(0, 100, 20) == (1.0, .2) and fit_shares(100, 0, 20)[0] == .1
+    assert fit_shares(3, 1000, 20) == (1.0, 17 / 1000) and fit_shares(1000, 1000, 20) == (.01, .01) and fit_shares(1000, 4, 20) == (.01, 1.0)
