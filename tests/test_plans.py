@@ -7,7 +7,9 @@ from geoverity.plans.registry import QUERIES
 
 # these run actions while being built (round loop, first-row planning, streams)
 EAGER = {"validate_centres", "validation_summary", "failed_report", "summary_metrics", "summary_report_md",
-         "stream_ingest_landed", "apply_schema", "save_transformed"}
+         "stream_ingest_landed", "stream_ingest_changes", "apply_schema", "save_transformed", "infer_schema_map",
+         "raw_path_support", "scan_json_files", "scan_csv_files", "retrieve_candidates", "cache_write_back", "geocode_by_query",
+         "cluster_center"}
 
 
 def _plan(df) -> str:
@@ -35,3 +37,12 @@ def test_flagship_limits_candidates_before_shuffle(spark, sf001):
 
 def test_single_row_results_have_no_join(spark, sf001):
     assert entry.queries()["update_summary"](spark, sf001).count() == 1
+
+
+def test_normalisation_plan_stays_small(spark):
+    """No expression is copied into others: the analysed plan of one record's normalisation has a bounded text."""
+    from geoverity.operators.normalize import normalize_records
+    from geoverity.sources.records import json_records
+    docs = spark.createDataFrame([(1, '[{"name": "A"}]')], "doc_id long, text string")
+    plan = normalize_records(json_records(docs), "t")._jdf.queryExecution().optimizedPlan().toString()
+    assert len(plan) < 60_000
