@@ -4,8 +4,8 @@ The stateless checks are one ordered CASE. The duplicate checks are
 order-dependent: a row is a duplicate only of rows *accepted* earlier, and
 rejected rows never block later ones. That is the lexicographically-first
 maximal independent set of the conflict graph (same non-empty id, or same
-coordinates). Rows without any conflict are accepted at once. The others fall into
-connected components, found by label doubling in logarithmically many rounds
+coordinates). Rows without any conflict are accepted at once, short chains are
+decided in a few parallel rounds (below). What is left falls into connected components, found by label doubling in logarithmically many rounds
 however long a chain of conflicts is; each component of up to ``MAX_COMPONENT``
 rows is decided in order by one task. Larger ones (a key that a large share of
 all rows holds) are decided in parallel rounds (Blelloch, Fineman, Shun, SPAA
@@ -82,27 +82,45 @@ def _checkpoint(df: DataFrame) -> DataFrame:
 MAX_COMPONENT = 200_000
 
 
-def accept_first_free(rows: DataFrame, max_component: int = MAX_COMPONENT) -> DataFrame:
+#: Rounds that decide short chains before components are looked for.
+FIRST_ROUNDS = 3
+
+
+def accept_first_free(rows: DataFrame, max_component: int = MAX_COMPONENT, rounds: int = FIRST_ROUNDS) -> DataFrame:
     """Greedy-in-``pos`` acceptance over conflict keys ``id`` (ignored when
     empty) and ``ck`` (coordinates). Returns the accepted rows' ``pos, id, ck``."""
     rows = rows.select("pos", "id", "ck")
+    tagged = _checkpoint(_with_firsts(rows).withColumn("free", F.coalesce(F.col("nid"), F.lit(1)) * F.col("nck") == 1))
+    free = tagged.filter("free").select("pos", "id", "ck")
+    accepted, left = _accept_by_rounds(tagged.filter(~F.col("free")).select("pos", "id", "ck"), rounds)
+    accepted = free.unionByName(accepted)
+    return accepted if left is None else accepted.unionByName(_accept_by_components(left, max_component))
+
+
+def _with_firsts(rows: DataFrame) -> DataFrame:
+    """Adds how many rows share a row's id (nid, first_id; null without an id) and coordinates (nck, first_ck), and the
+    first of them."""
     by_id = rows.filter(F.col("id") != "").groupBy("id").agg(F.count(F.lit(1)).alias("nid"), F.min("pos").alias("first_id"))
     by_ck = rows.groupBy("ck").agg(F.count(F.lit(1)).alias("nck"), F.min("pos").alias("first_ck"))
-    tagged = _checkpoint(
-        rows.join(by_id.withColumnRenamed("id", "k"), spread_id("id", "pos") == F.col("k"), "left").drop("k")
-            .join(by_ck, "ck", "left").withColumn("free", F.coalesce(F.col("nid"), F.lit(1)) * F.col("nck") == 1))
-    free = tagged.filter("free").select("pos", "id", "ck")
-    rest = tagged.filter(~F.col("free"))
+    return rows.join(by_id.withColumnRenamed("id", "k"), spread_id("id", "pos") == F.col("k"), "left").drop("k") \
+        .join(by_ck, "ck", "left")
+
+
+def _accept_by_components(rest: DataFrame, max_component: int) -> DataFrame:
+    """The sequential rule on rows with conflicts, component by component."""
+    tagged = _with_firsts(rest)
     # a star for each key: its rows and the first of them
-    edges = rest.where("first_id IS NOT NULL").select(F.col("pos").alias("a"), F.col("first_id").alias("b")) \
-        .unionByName(rest.select(F.col("pos").alias("a"), F.col("first_ck").alias("b")))
-    comps = components(edges)
-    sizes = comps.groupBy("comp").agg(F.count(F.lit(1)).alias("n"))
-    placed = written(rest.select("pos", "id", "ck").join(comps.withColumnRenamed("node", "pos"), "pos").join(sizes, "comp"))
+    edges = tagged.where("first_id IS NOT NULL").select(F.col("pos").alias("a"), F.col("first_id").alias("b")) \
+        .unionByName(tagged.select(F.col("pos").alias("a"), F.col("first_ck").alias("b")))
+    # a row whose conflicts have all been decided is a component by itself
+    comps = components(edges).withColumnRenamed("node", "pos")
+    placed = rest.join(comps, "pos", "left").withColumn("comp", F.coalesce("comp", "pos"))
+    sizes = placed.groupBy("comp").agg(F.count(F.lit(1)).alias("n"))
+    placed = written(placed.join(sizes, "comp"))
     small = placed.where(F.col("n") <= max_component).select("comp", "pos", "id", "ck")
     in_order = small.groupBy("comp").applyInPandas(_accept_in_order, small.drop("comp").schema)
-    large = _accept_by_rounds(placed.where(F.col("n") > max_component).select("pos", "id", "ck"))
-    return free.unionByName(in_order).unionByName(large)
+    large, _ = _accept_by_rounds(placed.where(F.col("n") > max_component).select("pos", "id", "ck"))
+    return in_order.unionByName(large)
 
 
 def _accept_in_order(rows: pd.DataFrame) -> pd.DataFrame:
@@ -119,13 +137,16 @@ def _accept_in_order(rows: pd.DataFrame) -> pd.DataFrame:
     return rows.loc[kept, ["pos", "id", "ck"]]
 
 
-def _accept_by_rounds(und: DataFrame) -> DataFrame:
-    """The sequential rule in parallel rounds."""
-    accepted = und.limit(0)
+def _accept_by_rounds(und: DataFrame, most: int | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """(accepted rows, rows left undecided or None) of the sequential rule in parallel rounds, ``most`` at most."""
+    accepted, done = und.limit(0), 0
     while True:
         und = _checkpoint(und)
         if und.isEmpty():
-            return accepted
+            return accepted, None
+        if done == most:
+            return accepted, und
+        done += 1
         mid = und.filter(F.col("id") != "").groupBy("id").agg(F.min("pos").alias("mid"))
         mck = und.groupBy("ck").agg(F.min("pos").alias("mck"))
         cand = und.join(mid.withColumnRenamed("id", "k"), spread_id("id", "pos") == F.col("k"), "left").drop("k") \
@@ -139,7 +160,8 @@ def _accept_by_rounds(und: DataFrame) -> DataFrame:
 
 
 def validate_centres(centres: DataFrame, threshold: float = K.CONFIDENCE_THRESHOLD,
-                     ocean_check: bool = True, max_component: int = MAX_COMPONENT) -> DataFrame:
+                     ocean_check: bool = True, max_component: int = MAX_COMPONENT,
+                     rounds: int = FIRST_ROUNDS) -> DataFrame:
     """V2: per centre ``is_valid``, ``reason``, ``failed_at`` with the reference's
     sequential semantics (checks in order; duplicates only of accepted rows)."""
     base = (centres.select("pos", F.coalesce(F.col("id"), F.lit("")).alias("id"), "latitude", "longitude",
@@ -148,7 +170,7 @@ def validate_centres(centres: DataFrame, threshold: float = K.CONFIDENCE_THRESHO
                    .withColumn("ck", F.struct("latitude", "longitude"))
                    .withColumn("low", low_confidence(threshold)))
     eligible = base.filter(F.col("sl").isNull() & ~F.col("low"))
-    accepted = accept_first_free(eligible, max_component).select("pos", F.lit(True).alias("acc"))
+    accepted = accept_first_free(eligible, max_component, rounds).select("pos", F.lit(True).alias("acc"))
     acc = base.join(accepted, "pos", "left").withColumn("acc", F.coalesce("acc", F.lit(False)))
     acc = _checkpoint(acc)
     first_id = (acc.filter(F.col("acc") & (F.col("id") != "")).groupBy("id")

@@ -77,8 +77,9 @@ def test_components_and_rounds(spark):
     rows = [(i, rng.choice(["", *map(str, range(60))]), rng.choice(LAND)[0] + rng.randrange(40) / 1000, 77.0 if rng.random() < .8 else 77.5,
              "India", rng.choice([None, None, 0.9, 0.1])) for i in range(500)]
     want = {p: (ok, r) for p, (ok, r) in sequential(rows).items()}
-    assert _rows(rows, spark) == want
-    assert _rows(rows, spark, max_component=1) == want
+    assert _rows(rows, spark, rounds=0) == want
+    assert _rows(rows, spark, rounds=1) == want
+    assert _rows(rows, spark, rounds=0, max_component=1) == want
 
 
 def test_long_chain_takes_few_rounds(spark, monkeypatch):
