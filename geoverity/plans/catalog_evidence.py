@@ -10,6 +10,7 @@ from ..functions import geo
 from ..operators import evidence as E
 from ..operators import fusion as FU
 from ..operators.candidates import candidates_all_providers
+from ..operators.consensus import provider_consensus, ungrouped_evidence
 from . import inputs
 from .geocode import latest_by_id
 from .registry import hav_sql, on_land_sql, precision_sql, r6, register
@@ -132,13 +133,7 @@ pe AS (SELECT pc.pos, pc.providers_total, pc.providers_agreeing,
 
 
 def _consensus(spark, sf):
-    c = inputs.candidates(spark, sf).select("pos", "cand_pos", "provider", "latitude", "longitude")
-    return E.provider_evidence(c)
-
-
-def _per_centre(df):
-    """Consensus values are identical for all candidates of a centre; keep one."""
-    return df.filter(F.col("cand_pos") == 1)
+    return provider_consensus(inputs.candidates(spark, sf))
 
 
 @register("provider_consensus", _CONSENSUS_CTE + """
@@ -146,7 +141,7 @@ SELECT pos, providers_total, providers_agreeing, round(consensus_ratio, 6) AS co
        disagreement, round(mean_provider_weight, 6) AS mean_provider_weight FROM pe""", ("candidates",))
 def q_consensus(spark, sf):
     p = F.col("provider_evidence")
-    return r6(_per_centre(_consensus(spark, sf)).select(
+    return r6(_consensus(spark, sf).select(
         "pos", p["providers_total"].cast("long").alias("providers_total"),
         p["providers_agreeing"].cast("long").alias("providers_agreeing"),
         p["consensus_ratio"].alias("consensus_ratio"), p["disagreement"].alias("disagreement"),
@@ -157,7 +152,7 @@ def q_consensus(spark, sf):
 SELECT pos, round(coordinate_variance, 6) AS coordinate_variance FROM pe""", ("candidates",))
 def q_variance(spark, sf):
     p = F.col("provider_evidence")
-    return r6(_per_centre(_consensus(spark, sf)).select(
+    return r6(_consensus(spark, sf).select(
         "pos", p["coordinate_variance"].alias("coordinate_variance")))
 
 
@@ -252,8 +247,7 @@ SELECT pos, round(CASE WHEN providers_total = 0 THEN {D(0)} ELSE least({D(1)},
    CASE WHEN coordinate_variance > 0.1 THEN s1 * {D(0.7)} WHEN coordinate_variance > 0.01 THEN s1 * {D(0.9)}
         ELSE s1 END) END, 6) AS provider_score FROM s2""", ("candidates",))
 def q_fusion_provider(spark, sf):
-    c = _per_centre(_consensus(spark, sf))
-    return r6(c.select("pos", FU.score_provider(F.col("provider_evidence")).alias("provider_score")))
+    return r6(_consensus(spark, sf).select("pos", FU.score_provider(F.col("provider_evidence")).alias("provider_score")))
 
 
 # C1-based consensus used by the pipeline: top-5 per provider first ---------
@@ -266,13 +260,22 @@ r AS""") + """
 SELECT pos, providers_total, providers_agreeing, round(coordinate_variance, 6) AS coordinate_variance FROM pe""",
           ("candidates",))
 def q_consensus_top5(spark, sf):
-    c = candidates_all_providers(inputs.candidates(spark, sf)).select(
-        "pos", "cand_pos", "provider", "latitude", "longitude")
+    c = provider_consensus(candidates_all_providers(inputs.candidates(spark, sf)))
     p = F.col("provider_evidence")
-    first = E.provider_evidence(c)
-    from pyspark.sql import Window
-    first = first.withColumn("_rn", F.row_number().over(Window.partitionBy("pos").orderBy("cand_pos")))
-    return r6(first.filter("_rn = 1").select(
+    return r6(c.select(
         "pos", p["providers_total"].cast("long").alias("providers_total"),
         p["providers_agreeing"].cast("long").alias("providers_agreeing"),
         p["coordinate_variance"].alias("coordinate_variance")))
+
+
+# E14 without results by provider ---------------------------------------------
+@register("consensus_ungrouped", f"""
+SELECT pos, cand_pos, 1 AS providers_agreeing, 1 AS providers_total, {D(1)} AS consensus_ratio,
+  {D(0)} AS coordinate_variance, CASE provider {_PW} ELSE {D(0.5)} END AS weight, false AS disagreement
+FROM candidates""", ("candidates",))
+def q_ungrouped(spark, sf):
+    p = F.col("provider_evidence")
+    return r6(ungrouped_evidence(inputs.candidates(spark, sf)).select(
+        "pos", "cand_pos", *[p[f].alias(f) for f in ("providers_agreeing", "providers_total", "consensus_ratio",
+                                                     "coordinate_variance", "disagreement")],
+        F.element_at("provider_weights", F.col("provider")).alias("weight")))
