@@ -35,14 +35,56 @@ def _s(x) -> Column:
     return F.coalesce(F.col(x) if isinstance(x, str) else x, F.lit(""))
 
 
+def raw_faults(raw: Column) -> Column:
+    """What a raw record holds that a collector cannot read, as a struct of flags: ``geography`` and
+    ``place_type`` (a value of the wrong type that the collector always reads), ``tags`` (tags that are no
+    object, read only where nothing else has told the place type).
+
+    An empty or unreadable record has no fault, as collectors leave it alone."""
+    def kind(path: str) -> Column:
+        """'none' (absent), 'text', 'object' or 'other' (null is a value like any other)."""
+        t = F.schema_of_variant(F.try_variant_get(v, path, "variant"))
+        return (F.when(t.isNull(), "none").when(t == "STRING", "text")
+                 .when(t.startswith("OBJECT"), "object").otherwise("other"))
+
+    def text(path: str) -> Column:
+        return F.lower(F.coalesce(F.try_variant_get(v, path, "string"), F.lit("")))
+
+    def unreadable(path: str) -> Column:
+        return ~kind(path).isin("none", "text")
+    v = F.try_parse_json(raw)
+    whole = kind("$")
+    blank = raw.rlike(r'^\s*(\{\s*\}|\[\s*\]|""|null|false|-?0+(\.0+)?)\s*$')
+    odd_tags = ~kind("$.tags").isin("none", "object")
+    told = text("$.type").isin(*K.NEARBY_EDUCATIONAL_TYPES) | text("$.category").isin(*K.NEARBY_EDUCATIONAL_TYPES)
+    geography = reduce(lambda a, b: a | b, [unreadable(f"$.{f}") for f in ("city", "state", "country", "type", "category")])
+    tag = (F.when(kind("$.tags.amenity") != "none", unreadable("$.tags.amenity"))
+            .when(kind("$.tags.building") != "none", unreadable("$.tags.building"))
+            .otherwise(unreadable("$.tags.landuse")))
+    props = kind("$.properties")
+    place = (F.when(props == "object", F.when(kind("$.properties.category") != "none", unreadable("$.properties.category"))
+                    .otherwise(unreadable("$.properties.type")))
+              .when(props != "none", F.lit(True))
+              .when(kind("$.type") != "none", unreadable("$.type"))
+              .when(kind("$.class") != "none", unreadable("$.class"))
+              .when(odd_tags, F.lit(False)).otherwise(tag))
+    held = v.isNotNull() & ~blank
+    none = F.struct(*[F.lit(False).alias(f) for f in ("geography", "place_type", "tags")])
+    return F.when(F.coalesce(held, F.lit(False)), F.when(whole != "object", F.struct(
+        F.lit(True).alias("geography"), F.lit(True).alias("place_type"), F.lit(False).alias("tags"))).otherwise(F.struct(
+            (geography | (odd_tags & ~told)).alias("geography"), place.alias("place_type"), odd_tags.alias("tags")))) \
+        .otherwise(none)
+
+
 def with_raw_features(df: DataFrame, raw_col: str = "raw") -> DataFrame:
-    """Parse the raw JSON record once into a narrow struct ``rawf`` and a
-    non-empty flag, so later stages never carry the payload."""
+    """Parse the raw JSON record into a narrow struct ``rawf``, a non-empty flag and
+    ``raw_faults``, so later stages never carry the payload."""
     raw = F.col(raw_col)
     # a JSON object with at least one key (no second parse: ``{}`` is the empty one)
     nonempty = raw.isNotNull() & raw.rlike(r"^\s*\{") & ~raw.rlike(r"^\s*\{\s*\}\s*$")
     return (df.withColumn("raw_nonempty", F.coalesce(nonempty, F.lit(False)))
-              .withColumn("rawf", F.from_json(raw, RAW_SCHEMA)))
+              .withColumn("rawf", F.from_json(raw, RAW_SCHEMA))
+              .withColumn("raw_faults", raw_faults(raw)))
 
 
 # ---------------------------------------------------------------------------
@@ -177,8 +219,9 @@ def provider_weight(provider) -> Column:
 
 
 def provider_evidence(df: DataFrame, key: str = "pos", order: str = "cand_pos",
-                      agree_km: float = K.PROVIDER_AGREEMENT_KM) -> DataFrame:
-    """Adds struct ``provider_evidence``; the same values for all candidates of a
+                      agree_km: float = K.PROVIDER_AGREEMENT_KM, with_failed: bool = False) -> DataFrame:
+    """Adds struct ``provider_evidence`` (and, if asked, ``consensus_failed``: a point that it compares has an
+    infinite coordinate); the same values for all candidates of a
     centre. Reference point = the first candidate of the centre; a provider
     agrees if any of its candidates is within ``agree_km``; variance is over
     each provider's points up to and including its first agreeing one."""
@@ -207,6 +250,9 @@ def provider_evidence(df: DataFrame, key: str = "pos", order: str = "cand_pos",
           .withColumn("_var", F.when(n_in < 2, F.lit(0.0)).otherwise(F.sqrt(var)))
           .withColumn("_meanw", mean_w)
           .withColumn("_pwmap", F.map_from_entries(F.array_sort(pw))))
+    if with_failed:
+        odd = (F.abs("latitude") == float("inf")) | (F.abs("longitude") == float("inf"))
+        d = d.withColumn("consensus_failed", F.coalesce(F.max(F.col("_in_var") & odd).over(w_centre), F.lit(False)))
     ratio = F.when(F.col("_total") > 0, F.col("_agreeing") / F.col("_total")).otherwise(F.lit(0.0))
     pe = F.struct(
         F.col("_agreeing").cast("int").alias("providers_agreeing"),
@@ -352,18 +398,68 @@ def with_signals(df: DataFrame) -> DataFrame:
         "negative_signals", negative_signals())
 
 
+# Evidence of a collector that failed.
+DEFAULTS = {
+    "geography": {"coordinate_precision": 0.0, "on_land": True, "reverse_geocode_match": False, "admin_hierarchy_valid": False,
+                  "nearby_roads": False, "nearby_educational": False, "nearby_landmarks": False},
+    "provider_evidence": {"providers_agreeing": 0, "providers_total": 0, "consensus_ratio": 0.0, "coordinate_variance": 0.0,
+                          "disagreement": False},
+    "place_type": {"category": "unknown", "confidence": 0.0, "is_educational": False, "is_negative_type": False,
+                   "negative_type_detail": ""},
+    "historical": {"has_previous_data": False, "matches_previous": False, "address_changed": False, "name_changed": False,
+                   "large_movement": False},
+}
+
+
+def skip_failed(df: DataFrame, has_prev: str | None = None) -> DataFrame:
+    """Adds ``skipped_collectors``, the collectors that cannot read a candidate, and gives these the evidence of
+    an empty record:
+
+    - geography, history: an infinite coordinate of the candidate, or of the previous record, where a distance is asked;
+    - geography, place_type: a raw record that is no object or holds a value of the wrong type (``raw_faults``);
+    - provider: an infinite coordinate among the points that its consensus compares (all candidates of the centre).
+
+    Text evidence reads string columns and cannot fail. A row without a candidate skips nothing."""
+    def infinite(*names: str) -> Column:
+        return reduce(lambda a, b: a | b, [F.coalesce(F.abs(F.col(n)) == float("inf"), F.lit(False)) for n in names])
+    place, previous = infinite("latitude", "longitude"), F.lit(False)
+    if has_prev:
+        asked = (F.coalesce(F.col(has_prev), F.lit(False)) & F.col("prev_latitude").isNotNull()
+                 & F.col("prev_longitude").isNotNull())
+        previous = asked & (place | infinite("prev_latitude", "prev_longitude"))
+    near_city = geo.distance_from_city_centre(F.col("ref_city"), F.lit(0.0), F.lit(0.0)).isNotNull()
+    name_told = (F.col("place_type.is_educational") | F.col("place_type.is_negative_type"))
+    faults = F.col("raw_faults")
+    failed = {
+        "geography": faults["geography"] | (place & near_city) | previous,
+        "provider": F.col("consensus_failed"),
+        "place_type": faults["place_type"] | (faults["tags"] & ~name_told),
+        "history": previous,
+    }
+    there = F.col("cand_pos").isNotNull()
+    failed = {k: there & F.coalesce(c, F.lit(False)) for k, c in failed.items()}
+    df = df.withColumn("skipped_collectors", F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in failed.items()])))
+    for column, name in (("geography", "geography"), ("provider_evidence", "provider"), ("place_type", "place_type"),
+                         ("historical", "history")):
+        kinds = df.schema[column].dataType
+        empty = F.struct(*[F.lit(DEFAULTS[column].get(f.name)).cast(f.dataType).alias(f.name) for f in kinds.fields])
+        df = df.withColumn(column, F.when(F.array_contains("skipped_collectors", name), empty).otherwise(F.col(column)))
+    return df.drop("consensus_failed")
+
+
 def collect_evidence(df: DataFrame, has_prev: str | None = None) -> DataFrame:
-    """All five collectors for every candidate plus signals and the
-    candidate id (``id`` if present else ``candidate_{i}_{provider}`` with the
-    0-based list index)."""
+    """All five collectors for every candidate plus signals, the collectors
+    skipped (``skip_failed``) and the candidate id (``id`` if present else
+    ``candidate_{i}_{provider}`` with the 0-based list index)."""
     # window-based evidence first: it reuses the input's partitioning on the
     # centre key; the Arrow UDF stage of the text evidence comes after it
-    out = provider_evidence(df)
+    out = provider_evidence(df, with_failed=True)
     out = text_evidence(out)
     out = geography_evidence(out, "prev_latitude" if has_prev else None,
                              "prev_longitude" if has_prev else None)
     out = place_type_evidence(out)
     out = historical_evidence(out, has_prev)
+    out = skip_failed(out, has_prev)
     cid = F.format_string("candidate_%d_%s", (F.col("cand_pos") - 1).cast("int"), _s("provider"))
     if "cand_id" in df.columns:
         cid = F.coalesce(F.col("cand_id"), cid)

@@ -12,7 +12,7 @@ from ..operators import fusion as FU
 from ..operators.candidates import candidates_all_providers
 from ..operators.consensus import provider_consensus, ungrouped_evidence
 from . import inputs
-from .geocode import latest_by_id
+from .geocode import CAND_FIELDS, REF_FIELDS, latest_by_id, with_missing
 from .registry import hav_sql, on_land_sql, precision_sql, r6, register
 
 
@@ -279,3 +279,44 @@ def q_ungrouped(spark, sf):
         "pos", "cand_pos", *[p[f].alias(f) for f in ("providers_agreeing", "providers_total", "consensus_ratio",
                                                      "coordinate_variance", "disagreement")],
         F.element_at("provider_weights", F.col("provider")).alias("weight")))
+
+
+# E20 skipped collectors ------------------------------------------------------
+#: Raw records that some collector cannot read, planted by (pos * 7 + cand_pos) mod 12; at 5 the longitude overflows.
+ODD_RAW = {1: "[1]", 2: '{"type":"school","city":null}', 3: '{"type":7}', 4: '{"tags":5}'}
+
+
+@register("skipped_collectors", f"""
+WITH k AS (SELECT k.pos, k.cand_pos, k.provider, k.latitude, k.longitude, k.name, (k.pos * 7 + k.cand_pos) % 12 AS m,
+    CASE (k.pos * 7 + k.cand_pos) % 12 WHEN 2 THEN 'school' WHEN 4 THEN '' ELSE lower(k.raw_type) END AS ptype,
+    y.city IS NOT NULL AS known
+  FROM candidates k JOIN centres c ON c.pos = k.pos LEFT JOIN cities y ON y.city = lower(c.city)),
+r AS (SELECT pos, arg_min(latitude, cand_pos) AS rlat, arg_min(longitude, cand_pos) AS rlon,
+    arg_min(m, cand_pos) AS rm, count(DISTINCT provider) AS total FROM k GROUP BY pos),
+d AS (SELECT k.*, r.total, CASE WHEN k.m <> 5 AND r.rm <> 5 THEN
+    {hav_sql('k.latitude', 'k.longitude', 'r.rlat', 'r.rlon')} <= 5.0 END AS agree FROM k JOIN r ON r.pos = k.pos),
+fa AS (SELECT pos, provider, min(CASE WHEN agree THEN cand_pos END) AS first_agree FROM d GROUP BY pos, provider),
+bad AS (SELECT d.pos, bool_or(d.m = 5) AS failed FROM d JOIN fa ON fa.pos = d.pos AND fa.provider = d.provider
+  WHERE fa.first_agree IS NULL OR d.cand_pos <= fa.first_agree GROUP BY d.pos),
+t AS (SELECT d.*, bad.failed, {_KW} AS kw, ptype IN ({_POS}) AS is_pos, CASE ptype {_NEG} END IS NOT NULL AS is_neg
+  FROM d JOIN bad ON bad.pos = d.pos),
+s AS (SELECT *, m IN (1, 2, 3, 4) OR (m = 5 AND known) AS no_geo, m IN (1, 3) OR (m = 4 AND NOT kw) AS no_type FROM t)
+SELECT pos, cand_pos, concat_ws(',', CASE WHEN no_geo THEN 'geography' END, CASE WHEN failed THEN 'provider' END,
+    CASE WHEN no_type THEN 'place_type' END) AS skipped_collectors,
+  CASE WHEN no_geo THEN true WHEN m = 5 THEN false ELSE {on_land_sql('latitude', 'longitude')} END AS on_land,
+  CASE WHEN failed THEN 0 ELSE CAST(total AS INTEGER) END AS providers_total,
+  CASE WHEN no_type THEN {D(0)} WHEN is_pos THEN {D(0.9)} WHEN is_neg THEN {D(0.8)} WHEN kw THEN {D(0.7)}
+    ELSE {D(0.3)} END AS place_confidence FROM s""", ("candidates", "centres", "cities"))
+def q_skipped(spark, sf):
+    m = (F.col("pos") * 7 + F.col("cand_pos")) % 12
+    raw = F.col("raw")
+    for k, text in ODD_RAW.items():
+        raw = F.when(m == k, F.lit(text)).otherwise(raw)
+    c = inputs.candidates(spark, sf).withColumn("raw", raw).withColumn(
+        "longitude", F.when(m == 5, F.lit(float("inf"))).otherwise(F.col("longitude")))
+    ref = inputs.centres(spark, sf).select("pos", *[F.coalesce(F.col(f), F.lit("")).alias(f"ref_{f}") for f in REF_FIELDS])
+    ev = E.collect_evidence(E.with_raw_features(with_missing(c, CAND_FIELDS)).join(ref, "pos"))
+    return ev.select("pos", "cand_pos", F.array_join("skipped_collectors", ",").alias("skipped_collectors"),
+                     F.col("geography.on_land").alias("on_land"),
+                     F.col("provider_evidence.providers_total").alias("providers_total"),
+                     F.col("place_type.confidence").alias("place_confidence"))

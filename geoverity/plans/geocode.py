@@ -32,7 +32,7 @@ REF_FIELDS = ["id", "name", "address", "city", "state", "country", "postal_code"
 CAND_FIELDS = ["name", "address", "city", "state", "country", "postal_code", "street"]
 
 
-def _with_missing(df: DataFrame, cols: list[str]) -> DataFrame:
+def with_missing(df: DataFrame, cols: list[str]) -> DataFrame:
     for c in cols:
         if c not in df.columns:
             df = df.withColumn(c, F.lit(""))
@@ -45,7 +45,7 @@ def verify_candidates(centres: DataFrame, cands: DataFrame, force: bool = False,
     """All candidates of the first successful query of each pending centre with
     evidence, fusion scores, confidence and state; centres without candidates
     keep one row with NULL candidate columns (``cand_pos`` NULL)."""
-    cands = _with_missing(cands, CAND_FIELDS)
+    cands = with_missing(cands, CAND_FIELDS)
     if "raw_nonempty" not in cands.columns:
         cands = E.with_raw_features(cands)
     top = C.candidates_all_providers(cands, limit)
@@ -58,7 +58,7 @@ def verify_candidates(centres: DataFrame, cands: DataFrame, force: bool = False,
     cand_cols = top.select(
         F.col("pos").alias("c_pos"), "query_rank", "provider", "provider_rank",
         F.col("cand_pos").alias("src_pos"), *CAND_FIELDS, "latitude", "longitude",
-        F.col("confidence").alias("provider_confidence"), "rawf", "raw_nonempty")
+        F.col("confidence").alias("provider_confidence"), "rawf", "raw_nonempty", "raw_faults")
     joined = ref.join(cand_cols, (F.col("pos") == F.col("c_pos")) & F.col("pending")
                       & (F.col("query_rank") < F.col("n_queries")), "left").drop("c_pos")
     # C3 and list numbering, both per centre
