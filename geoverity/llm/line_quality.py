@@ -1,9 +1,10 @@
 """Quality rules: cross-document line frequency.
 
 Lines are normalised (A-Z lower-cased, digits to 0, white space squeezed) and
-hashed. For each host the distinct documents that hold a line are counted; exact
-copies of one text count as one document. Lines above the limits are removed, and
-a document that loses too much of its words is rejected. Built-in functions only.
+hashed. For each host the distinct documents that hold a line are counted, exact
+copies of a text among them (a document is a key with a text; a repeated row is
+the same document). Lines above the limits are removed, and a document that loses
+too much of its words is rejected. Built-in functions only.
 
 Only hashes are shuffled: (host, text hash, line hash, words) in, and one removed
 word count per (host, text hash) back. A line that stands in a third of all
@@ -96,16 +97,21 @@ def removed_lines(docs: DataFrame, max_docs: int = MAX_DOCS, max_share: float =
             .groupBy("_host", "_th", F.col("x.line").alias("line"))
             # repeated rows repeat a text: the words of one copy are what counts
             .agg(F.sum("x.w").alias("w"), F.count("*").alias("times")))
-    copies = docs.groupBy("_host", "_th").agg(F.count("*").alias("copies"))
-    hosts = copies.groupBy(F.col("_host").alias("h_host")).agg(F.count("*").alias("texts"))
-    common = (held.groupBy("_host", "line").agg(F.count("*").alias("n")).where(F.col("n") > max_docs)
+    copies = (docs.groupBy("_host", "_th", "_id").agg(F.count("*").alias("n"))
+              .groupBy(F.col("_host").alias("k_host"), F.col("_th").alias("k_th"))
+              .agg(F.sum("n").alias("copies"), F.count("*").alias("documents")))
+    hosts = copies.groupBy(F.col("k_host").alias("h_host")).agg(F.sum("documents").alias("all"))
+    same = F.col("_host").eqNullSafe(F.col("k_host")) & (F.col("_th") == F.col("k_th"))
+    # nearly all texts are one document: only the others are joined to their lines
+    several = copies.where("documents > 1")
+    common = (held.join(several, same, "left").groupBy("_host", "line")
+              .agg(F.sum(F.coalesce("documents", F.lit(1))).alias("n")).where(F.col("n") > max_docs)
               .join(hosts, F.col("_host").eqNullSafe(F.col("h_host")))
-              .where(F.col("n") > F.lit(max_share) * F.col("texts")).select("_host", "line"))
+              .where(F.col("n") > F.lit(max_share) * F.col("all")).select("_host", "line"))
     c = common.select(F.col("_host").alias("c_host"), F.col("line").alias("c_line"))
     return (held.join(c, F.col("line").eqNullSafe(F.col("c_line")) & F.col("_host").eqNullSafe(F.col("c_host")),
                       "left_semi")
-            .join(copies.withColumnsRenamed({"_host": "k_host", "_th": "k_th"}),
-                  F.col("_host").eqNullSafe(F.col("k_host")) & (F.col("_th") == F.col("k_th")))
+            .join(copies, same)
             .select("_host", "_th", "line", (F.col("w") / F.col("copies")).cast("long").alias("w")))
 
 
@@ -153,9 +159,9 @@ rep AS (SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest(range(
 line AS (SELECT doc_id, source, t, x AS raw, trim(regexp_replace(translate(translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
   'abcdefghijklmnopqrstuvwxyz'), '123456789', '000000000'), '[\\x20\\x09-\\x0D]+', ' ', 'g'), ' ') AS norm
   FROM (SELECT doc_id, source, t, unnest(ls) AS x FROM w) y),
-texts AS (SELECT source, count(DISTINCT t) AS n FROM d GROUP BY source),
-common AS (SELECT l.source, l.norm FROM line l JOIN texts s ON s.source IS NOT DISTINCT FROM l.source
-  GROUP BY l.source, l.norm, s.n HAVING count(DISTINCT l.t) > {MAX_DOCS} AND count(DISTINCT l.t) > {MAX_SHARE} * s.n),
+hosts AS (SELECT source, count(DISTINCT doc_id) AS n FROM d GROUP BY source),
+common AS (SELECT l.source, l.norm FROM line l JOIN hosts s ON s.source IS NOT DISTINCT FROM l.source
+  GROUP BY l.source, l.norm, s.n HAVING count(DISTINCT l.doc_id) > {MAX_DOCS} AND count(DISTINCT l.doc_id) > {MAX_SHARE} * s.n),
 lost AS (SELECT l.doc_id, sum(len(list_filter(regexp_split_to_array(raw, '[\\x20\\x09-\\x0D]+'), lambda x: x <> ''))) AS n
   FROM line l JOIN common c ON c.norm = l.norm AND c.source IS NOT DISTINCT FROM l.source GROUP BY l.doc_id),
 base AS (SELECT w.doc_id, len(ws) AS n_words, CAST(list_sum(list_transform(ws, lambda x: length(x))) AS BIGINT) AS word_chars,

@@ -28,10 +28,10 @@ def normal(line):
 def brute(rows, max_docs, max_share, max_removed):
     texts, holders = defaultdict(set), defaultdict(set)
     lines = lambda t: [x for x in (t or "").split("\n") if normal(x)]
-    for _, t, host in rows:
-        texts[host].add(t or "")
+    for i, t, host in rows:
+        texts[host].add((i, t or ""))
         for x in lines(t):
-            holders[host, normal(x)].add(t or "")
+            holders[host, normal(x)].add((i, t or ""))
     out = []
     for i, t, host in rows:
         n = base(t)
@@ -59,6 +59,16 @@ def test_brute_force(spark):
     assert removed and all(len(r.cleaned.split()) == r.n_words - r.n_removed_words for r in removed)
 
 
+def test_copies_are_documents(spark):
+    """A text that stands often on a host reaches the limit; one document in repeated rows does not."""
+    text = "word " * 30
+    rows = [(i, text, "a") for i in range(30)] + [(1, "other " * 30, "b")] * 30
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = Q.judge(df.withColumnRenamed("text", "t"), text_col="t", max_docs=20, max_removed=0.5).collect()
+    assert {r.n_removed_words for r in got if r.word_chars == 120} == {30}
+    assert {r.n_removed_words for r in got if r.word_chars == 150} == {0}
+
+
 def test_query(spark):
     sf = "/root/testdata/sf0.001"
     docs = [(r.doc_id, r.text, r.source) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
