@@ -7,6 +7,11 @@ and diagonal, neighbouring diagonals (insertions and deletions) are merged, and
 each merged span is verified word by word against its template. Built-in
 functions only; the templates are a fixed parameter, so their side is broadcast.
 
+A label needs a share of its template's words. The gram length follows from that by
+pigeonhole (``gram_size``): with so many words edited at most, a run of 4 words stays
+intact, or in a shorter template enough pairs of words do. A template of one word
+has no pair and is refused (that is what phrases are for).
+
 Fixed phrases are looked up beside that; their labels stay, the templates' labels
 are added. Null or empty text: no words, no labels, score 0. Repeated rows get the
 same result each; an empty table gives an empty result.
@@ -14,9 +19,10 @@ same result each; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import ascii_lower, table
@@ -43,7 +49,7 @@ TEMPLATES = [
     ("cc-by-sa-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
 ]
 
-K = 4  # words of a gram
+K, K_SHORT = 4, 2  # words of a gram, and of one of a short template
 SLACK = 3  # diagonals so near are one span
 MIN_MATCH = 0.8  # share of a template's words found on the span's diagonals
 BROADCAST_GRAMS = 200_000  # beyond so many template grams they are joined by shuffle
@@ -60,43 +66,60 @@ def template_words(text: str) -> list[str]:
     return [w for w in re.split(_NOT_WORD, lower) if w]
 
 
-def grams(words: Column, k: int = K) -> Column:
-    """[(position from 0, hash)] of all rolling k-grams."""
-    return F.when(F.size(words) >= k, F.transform(
-        F.sequence(F.lit(1), F.size(words) - (k - 1)),
-        lambda i: F.struct((i - 1).alias("pos"),
-                           F.xxhash64(*[F.element_at(words, i + j) for j in range(k)]).alias("gram"))))
+def gram_size(n: int, min_match: float = MIN_MATCH) -> tuple[int, int]:
+    """(words of a gram, fewest votes of a span) for a template of n words.
 
+    Up to e words may be edited, so e + 1 runs hold the others and one of them has at least (n - e) / (e + 1)
+    words. Where that is less than K, pairs are looked up: of the n - 1 pairs an edit touches at most two. Three
+    votes at most are asked for, as many as an intact run of K words gives."""
+    e = n - math.ceil(round(n * min_match, 9))
+    if n - e > (K - 1) * (e + 1):
+        return K, 1
+    if n < K_SHORT or n - 1 - 2 * e < 1:
+        raise ValueError(f"a template of {n} words cannot be found at a share of {min_match}")
+    return K_SHORT, min(K - 1, n - 1 - 2 * e)
 
-def _templates(spark: SparkSession, templates) -> DataFrame:
-    cells = [F.struct(F.lit(i).alias("t_id"), F.lit(label).alias("label"),
-                      F.array(*[F.lit(w) for w in words]).alias("t_words"))
-             for i, (label, text) in enumerate(templates) if len(words := template_words(text)) >= K]
+
+def grams(words: Column, k: int) -> Column:
+    """[(position from 0, hash)] of all rolling k-grams."""
+    made = F.transform(F.sequence(F.lit(1), F.size(words) - (k - 1)), lambda i: F.struct(
+        (i - 1).alias("pos"), F.xxhash64(*[F.element_at(words, i + j) for j in range(k)]).alias("gram")))
+    return F.when(F.size(words) >= k, made).otherwise(F.array().cast("array<struct<pos:int,gram:bigint>>"))
+
+
+def _templates(spark: SparkSession, templates, min_match: float) -> DataFrame:
+    cells = []
+    for i, (label, text) in enumerate(templates):
+        words = template_words(text)
+        k, least = gram_size(len(words), min_match)
+        cells.append(F.struct(F.lit(i).alias("t_id"), F.lit(label).alias("label"), F.lit(k).alias("k"),
+                              F.lit(least).alias("least"), F.array(*[F.lit(w) for w in words]).alias("t_words")))
     return spark.range(1).select(F.explode(F.array(*cells)).alias("t")).select("t.*")
 
 
-def spans(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
+def spans(docs: DataFrame, templates=TEMPLATES, min_match: float = MIN_MATCH) -> DataFrame:
     """(_id, _th, t_id, label, t_words, lo, hi, votes): merged diagonals of each document and template."""
     spark = docs.sparkSession
-    known = _templates(spark, templates)
-    places = known.select("t_id", F.explode(grams(F.col("t_words"))).alias("g")) \
+    known = _templates(spark, templates, min_match)
+    sizes = sorted({gram_size(len(template_words(t)), min_match)[0] for _, t in templates})
+    t_grams = F.when(F.col("k") == K, grams(F.col("t_words"), K)).otherwise(grams(F.col("t_words"), K_SHORT))
+    places = known.select("t_id", F.explode(t_grams).alias("g")) \
         .select("t_id", F.col("g.pos").alias("t_pos"), F.col("g.gram").alias("gram"))
     small = sum(len(template_words(t)) for _, t in templates) <= BROADCAST_GRAMS
     places, known = (F.broadcast(places), F.broadcast(known)) if small else (places, known)
     hits = (docs.withColumn("words", license_words(F.col("_text")))
-            .select("_id", "_th", F.explode(grams(F.col("words"))).alias("g"))
+            .select("_id", "_th", F.explode(F.concat(*[grams(F.col("words"), k) for k in sizes])).alias("g"))
             .select("_id", "_th", F.col("g.pos").alias("pos"), F.col("g.gram").alias("gram"))
             .join(places, "gram"))
     votes = (hits.groupBy("_id", "_th", "t_id", (F.col("pos") - F.col("t_pos")).alias("diagonal"))
              .agg(F.count("*").alias("votes")))
     # neighbouring diagonals of one document and template
-    from pyspark.sql import Window
     order = Window.partitionBy("_id", "_th", "t_id").orderBy("diagonal")
     opens = F.coalesce((F.col("diagonal") - F.lag("diagonal").over(order) > SLACK).cast("int"), F.lit(1))
     return (votes.withColumn("opens", opens).withColumn("part", F.sum("opens").over(order))
             .groupBy("_id", "_th", "t_id", "part")
             .agg(F.min("diagonal").alias("lo"), F.max("diagonal").alias("hi"), F.sum("votes").alias("votes"))
-            .join(known, "t_id"))
+            .join(known, "t_id").where("votes >= least"))
 
 
 def _phrase_places(words: Column, phrase: list[str]) -> Column:
@@ -121,7 +144,7 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", template
     ``labels``, ``score`` (best verified share), ``spans`` (label, first word, end word, share)."""
     docs = df.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text")) \
         .withColumn("_th", F.xxhash64(F.coalesce("_text", F.lit(""))))
-    found = (spans(docs, templates).groupBy(F.col("_id").alias("s_id"), F.col("_th").alias("s_th"))
+    found = (spans(docs, templates, min_match).groupBy(F.col("_id").alias("s_id"), F.col("_th").alias("s_th"))
              .agg(F.collect_list(F.struct("label", "t_words", "lo", "hi")).alias("found")))
     out = docs.join(found, F.col("_id").eqNullSafe(F.col("s_id")) & (F.col("_th") == F.col("s_th")), "left")
     out = out.withColumn("words", license_words(F.col("_text"))).drop("_text")
