@@ -11,8 +11,9 @@ each block is held against all documents; nothing of the documents is shuffled.
 Texts are compared with letters lower-cased (where that keeps the length) and
 white space squeezed to single spaces.
 
-Null, empty or very short items (under ``MIN_CHARS`` characters) can't mark a leak
-and are left out; null or empty documents have none. Every repeated item and
+Items of under ``MIN_CHARS`` characters leave no room for an edit: they are found word
+for word, at word boundaries (no letter or digit goes on at either end). Null or
+empty items are left out; null or empty documents hold none. Every repeated item and
 every repeated document row gets its rows; empty tables give an empty result.
 """
 
@@ -20,6 +21,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import ahocorasick
 import pyarrow as pa
@@ -68,6 +70,12 @@ def pieces(item: str, errors: int) -> list[tuple[int, str]]:
     return [(a, item[a:b]) for a, b in zip(cuts, cuts[1:])]
 
 
+def stands_alone(text: str, a: int, b: int) -> bool:
+    """No word goes on across either end of text[a:b]."""
+    return not (a and text[a - 1].isalnum() and text[a].isalnum()
+                or b < len(text) and text[b - 1].isalnum() and text[b].isalnum())
+
+
 class Pattern:
     """An item and its bit masks, for distances by Myers' algorithm."""
 
@@ -107,7 +115,7 @@ class Block:
         self.items = []
         places: dict[str, list[tuple[int, int]]] = {}
         for key, text in items:
-            errors = budget(len(text), rate)
+            errors = 0 if len(text) < MIN_CHARS else budget(len(text), rate)
             for at, piece in pieces(text, errors):
                 places.setdefault(piece, []).append((len(self.items), at))
             self.items.append((key, Pattern(text), Pattern(text[::-1]), errors))
@@ -129,6 +137,11 @@ class Block:
         out = []
         for k, windows in sorted(spots.items()):
             key, pattern, mirrored, errors = self.items[k]
+            if pattern.size < MIN_CHARS:
+                whole = [(a, b) for a, b in windows if stands_alone(text, a, b)]
+                if whole:
+                    out.append((key, 0, *min(whole), len(whole)))
+                continue
             found, joined = [], []
             for a, b in sorted(windows):
                 a, b = max(0, a - errors), min(len(text), b + errors)
@@ -162,7 +175,7 @@ def item_blocks(items: DataFrame, item_col: str, item_text_col: str, block_chars
     blocks = max(1, -(-chars // block_chars))
     for number in range(blocks):
         rows = wanted.where(F.pmod(F.xxhash64("k", "t"), F.lit(blocks)) == number).orderBy("k", "t").collect()
-        yield [(r.k, n) for r in rows if len(n := normal(r.t)) >= MIN_CHARS]
+        yield [(r.k, n) for r in rows if (n := normal(r.t))]
 
 
 def block_in_worker(spark: SparkSession, items: list[tuple], rate: float) -> Callable[[], Block]:
@@ -185,12 +198,12 @@ def leaks(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str
     docs = df.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text"))
     kinds = [df.schema[id_col].dataType.simpleString(), items.schema[item_col].dataType.simpleString()]
     schema = f"`{id_col}` {kinds[0]}, `{item_col}` {kinds[1]}, distance int, start bigint, `end` bigint, n_places int"
-    out = None
+    found = []
     for block in item_blocks(items, item_col, item_text_col, block_chars):
-        found = scan_block(docs, block_in_worker(docs.sparkSession, block, rate), schema)
-        # every block but a single one is written at once
-        out = found if out is None else landed(out).unionAll(landed(found))
-    return out
+        if found:  # of several blocks each is written once, before the next
+            found[-1] = landed(found[-1])
+        found.append(scan_block(docs, block_in_worker(docs.sparkSession, block, rate), schema))
+    return reduce(DataFrame.unionAll, found)
 
 
 def scan_block(docs: DataFrame, block: Callable[[], Block], schema: str) -> DataFrame:

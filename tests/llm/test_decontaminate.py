@@ -1,6 +1,7 @@
 """Edit matching against the plain dynamic programme over every item and document."""
 
 import random
+import re
 
 from geoverity.llm import decontaminate as D
 
@@ -18,6 +19,13 @@ def best(item, text):
     return out
 
 
+def alone(item, text):
+    """The item's words in the text, no word going on at either end."""
+    edge = lambda c: r"(?<![^\W_])" if c.isalnum() else ""
+    after = r"(?![^\W_])" if item[-1].isalnum() else ""
+    return re.search(edge(item[0]) + re.escape(item) + after, text) is not None
+
+
 def edited(rng, text, n):
     t = list(text)
     for _ in range(n):
@@ -38,12 +46,15 @@ def test_brute_force(spark, docs):
             t += "  " + edited(rng, x.upper() if rng.random() < .3 else x, rng.randint(0, 9)) + "\n" + word()
         rows.append((i, t))
     rows += [(None, items[0][1]), (500, None), (501, ""), (502, items[1][1] * 400)] + rows[:5]
-    extra = [(None, items[2][1]), (90, None), (91, ""), (92, "short"), items[3]]
+    extra = [(None, items[2][1]), (90, None), (91, ""), (92, "short"), (93, " New  Item"), (94, "?"), items[3]]
+    rows += [(600, "a new\titem here"), (601, "NEW ITEM"), (602, "a renew item"), (603, "new items"), (604, "new item's end?")]
     want = []
     for i, t in rows:
         for k, x in items + extra:
             x = D.normal(x or "")
-            if len(x) >= D.MIN_CHARS and i != 502:
+            if 0 < len(x) < D.MIN_CHARS and alone(x, D.normal(t or "")):
+                want.append(str((i, k, 0)))
+            elif len(x) >= D.MIN_CHARS and i != 502:
                 d, _ = best(x, D.normal(t or ""))
                 if d <= D.budget(len(x), 0.12):
                     want.append(str((i, k, d)))
@@ -74,4 +85,4 @@ def test_query(spark):
     items = {r.item_id: D.normal(r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()}
     rows = [(r.doc_id, D.normal(r.text)) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     got = {(r.doc_id, r.item_id) for r in D.op1_decontaminate(spark, sf).collect()}
-    assert {(i, k) for i, t in rows for k, x in items.items() if x in t and len(x) >= D.MIN_CHARS} <= got and got
+    assert {(i, k) for i, t in rows for k, x in items.items() if x and x in t and (len(x) >= D.MIN_CHARS or alone(x, t))} <= got and got
