@@ -1,7 +1,8 @@
 """Cluster centre of a group of points (E16) by counts over cells.
 
 For each group the point with the most other points within a radius is wanted. Equal points are one with a weight.
-Points are put into cells: latitude bands as high as the radius and, in each band, columns as wide as the radius
+A group of few places is one row and its places are compared with each other there. The places of the other groups are
+put into cells: latitude bands as high as the radius and, in each band, columns as wide as the radius
 reaches at its latitude, so what is near a cell lies in the columns next to it. Cells are compared by their bounding
 boxes: a cell that lies within the radius as a whole is added as a count, one that lies outside is left out. Only a
 pair of cells that the circle crosses needs more: while it has many pairs of points, both cells are cut into quarters
@@ -11,13 +12,15 @@ pairs: the rounds follow the circles' borders.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from math import isqrt
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..session import written
 
-#: Pairs of points that two cells may have to be compared point by point.
+#: Pairs of points that two cells, or a group with itself, may have to be compared point by point.
 MAX_PAIRS = 256
 #: Relative slack of box distances, so that rounding never decides what the points' own distances decide.
 SLACK = 1e-9
@@ -89,6 +92,33 @@ def neighbours(df: DataFrame, key: str, order: str, threshold_km: float, max_pai
     placed = F.coalesce(F.col("latitude").between(-90, 90) & (F.abs("longitude") < float("inf")), F.lit(False))
     rows = df.select(F.col(key).alias("k"), F.col(order).alias("i"), F.col("latitude").alias("la"), F.col("longitude").alias("lo"),
                      placed.alias("placed"))
+    few = written(_few_places(rows, isqrt(max_pairs) + 1))
+    small = F.size("places") <= isqrt(max_pairs)
+    compared = few.where(small).select("k", F.inline(_compared(F.col("places"), threshold_km)))
+    crowded = few.where(~small).select("k")
+    if crowded.isEmpty():
+        return compared
+    return compared.unionByName(_by_cells(rows.join(crowded, "k", "left_semi"), threshold_km, max_pairs))
+
+
+def _few_places(rows: DataFrame, most: int) -> DataFrame:
+    """(k, places): the first ``most`` places of each group, so that a group that has more is known without being held."""
+    places = rows.groupBy("k", "la", "lo", "placed", F.when(~F.col("placed"), F.col("i")).alias("lone")).agg(
+        F.min("i").alias("i"), F.count("*").alias("m"))
+    first = places.withColumn("r", F.row_number().over(Window.partitionBy("k").orderBy("i"))).where(F.col("r") <= most)
+    return first.groupBy("k").agg(F.collect_list(F.struct("i", "la", "lo", "m", "placed")).alias("places"))
+
+
+def _compared(places: Column, threshold_km: float) -> Column:
+    """Each of a group's places with the other points within the radius."""
+    def near(p: Column) -> Column:
+        return F.aggregate(places, F.lit(0).cast("long"), lambda n, q: F.when(
+            q["placed"] & (geo.haversine_km(p["la"], p["lo"], q["la"], q["lo"]) <= threshold_km), n + q["m"]).otherwise(n))
+    return F.transform(places, lambda p: F.struct(p["i"].alias("i"), p["la"].alias("la"), p["lo"].alias("lo"), F.when(
+        p["placed"], near(p) - 1).otherwise(F.lit(0).cast("long")).alias("n_near")))  # but itself
+
+
+def _by_cells(rows: DataFrame, threshold_km: float, max_pairs: int) -> DataFrame:
     lone = rows.where("NOT placed").select("k", "i", "la", "lo", F.lit(0).cast("long").alias("n_near"))
     height = max(threshold_km, 1e-3) / 111.0
     band = F.floor(F.col("la") / height)
