@@ -39,3 +39,8 @@ def test_equal_texts_form_no_subsequence(spark):
     """A subsequence of texts of this length would take minutes."""
     df = spark.createDataFrame([("ab" * 4000, "ab" * 4000), ("ab" * 4000, "cd" * 4000)], "a string, b string")
     assert [r.x for r in df.select(sim.ratio_holds("a", "b", lambda r: r >= 70).alias("x")).collect()] == [True, False]
+
+
+def test_decision_plan_stays_small(spark, sf001):
+    """Evidence is not copied into each score and signal that reads it."""
+    assert len(plan(entry.queries()["decide_all"](spark, sf001))) < 200_000
