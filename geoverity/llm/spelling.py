@@ -17,6 +17,10 @@ and loses no pair.
 Null or empty texts hold no words; a null key counts as empty text in the hash. Repeated rows count each. Ties of
 equally frequent near words go to the smallest word in code-point order. An empty table gives an empty result.
 Chains of forms end, as every step goes to a word at least ``ratio`` times as frequent.
+
+All joins are by shuffle (``by_shuffle``): every side grows with the vocabulary, and Spark takes these tables for small.
+It goes by their compressed files, and takes the 24 signatures of a word for one row, so it would collect them on the
+driver.
 """
 
 from __future__ import annotations
@@ -36,6 +40,11 @@ DISTANCE = 2
 _LETTERS = r"[^A-Za-z\u00C0-\u00FF]+"  # what stands between runs of letters
 
 
+def by_shuffle(df: DataFrame) -> DataFrame:
+    """A side of a join that is never broadcast, however small Spark takes it for."""
+    return df.hint("merge")
+
+
 def lowered(run: Column) -> Column:
     """A-Z in lower case; a run of ASCII letters takes the faster way."""
     return F.when(F.octet_length(run) == F.char_length(run), F.lower(run)).otherwise(ascii_lower(run))
@@ -101,7 +110,7 @@ def near_pairs(words: DataFrame) -> DataFrame:
     rows = signature_rows(words)
     a, b = rows.select("sig", F.col("word").alias("a")), rows.select("sig", F.col("word").alias("b"))
     one_edit = (F.col("a") < F.col("b")) & (F.levenshtein("a", "b", 1) == 1)
-    return a.join(b, "sig").where(one_edit).select("a", "b").distinct()
+    return a.join(by_shuffle(b), "sig").where(one_edit).select("a", "b").distinct()
 
 
 def roots(forms: DataFrame) -> DataFrame:
@@ -109,7 +118,7 @@ def roots(forms: DataFrame) -> DataFrame:
     state = landed(forms.where("form IS NOT NULL").select("word", F.col("form").alias("root")))
     while True:
         ahead = state.select(F.col("word").alias("root"), F.col("root").alias("far"))
-        further = state.join(ahead, "root", "left").select(
+        further = state.join(by_shuffle(ahead), "root", "left").select(
             "word", F.coalesce("far", "root").alias("root"), F.col("far").isNotNull().alias("moved"))
         further = landed(further)
         state = further.select("word", "root")
@@ -124,14 +133,14 @@ def variants(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", leas
     words = landed(count_words(df, id_col, text_col, least_length, least_count, drop_every))
     pairs = landed(near_pairs(words))
     both = pairs.union(pairs.select("b", "a")).toDF("word", "near")
-    counted = both.join(words.select(F.col("word").alias("near"), F.col("n").alias("near_n")), "near")
+    counted = both.join(by_shuffle(words.select(F.col("word").alias("near"), F.col("n").alias("near_n"))), "near")
     best = counted.groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct(-F.col("near_n"), F.col("near"))).alias("top"))
     best = best.select("word", "n_near", (-F.col("top.col1")).alias("top_n"), F.col("top.near").alias("top"))
     frequent = F.col("top_n") >= ratio * F.col("n")
-    formed = landed(words.join(best, "word", "left").select(
+    formed = landed(words.join(by_shuffle(best), "word", "left").select(
         "word", F.when(frequent, F.col("top")).alias("form"), "n", F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"),
         F.when(frequent, F.col("top_n")).alias("form_n")))
-    return formed.join(roots(formed), "word", "left").select(
+    return formed.join(by_shuffle(roots(formed)), "word", "left").select(
         "word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
 
 
